@@ -84,50 +84,50 @@ def with_stamp(df: DataFrame, text: Column, out: str, month: Column, default_zon
     values without one. Impossible dates and times, incomplete values and unknown zones give null.
     """
     p = f"__{out}"
-    taken = set(df.columns)
-    while any(c.startswith(p) for c in taken):
+    while any(c.startswith(p) for c in df.columns):
         p = f"_{p}"
-    col = lambda n: F.col(f"{p}_{n}")
-    df = df.withColumn(f"{p}_t", blankless(text))
-    parts = F.when(col("t").rlike(r"^\d+$") & F.length(col("t")).isin(10, 13, 16), F.array(F.lit("e"), col("t")))
+    # SQL text: one call for a stage instead of a round trip to the JVM for each of some hundred expressions
+    df = df.withColumns({f"{p}_t": blankless(text), f"{p}_m": month, f"{p}_q": default_zone})
+    # whole-stage code of all this would be one method too large for the JVM's compiler, which leaves it interpreted; a
+    # higher-order function in a projection keeps it out of the stage, so that its code comes in small methods
+    apart = lambda e: f"get(transform(array({e}), x -> x), 0)"
+    number = lambda a, i: f"try_cast(get({a}, {i}) as int)"
+    parts = f"CASE WHEN {p}_t RLIKE r'^\\d+$' AND length({p}_t) IN (10, 13, 16) THEN array('e', {p}_t) "
     for kind, pattern, order in _NOTATIONS:
-        parts = parts.when(col("t").rlike(pattern), F.split(F.regexp_replace(col("t"), pattern, f"{kind}|{order}"), r"\|", 11))
-    df = df.withColumn(f"{p}_a", parts)
-    at = lambda i: F.get(col("a"), F.lit(i))
-    kind = at(0)
-    whole = lambda i: at(i).try_cast("int")
-    hour12 = F.upper(at(8))
-    h = (
-        F.when(hour12 == "", whole(4))
-        .when(~whole(4).between(1, 12), None)
-        .otherwise(whole(4) % 12 + F.when(hour12 == "P", 12).otherwise(0))
+        parts += f"WHEN {p}_t RLIKE r'{pattern}' THEN split(regexp_replace({p}_t, r'{pattern}', '{kind}|{order}'), r'\\|', 11) "
+    df = df.withColumn(f"{p}_a", F.expr(apart(parts + "END")))
+    names = ", ".join(f"'{m}'" for m in MONTHS)
+    df = df.selectExpr(
+        "*",
+        f"{apart(f'get({p}_a, 0)')} AS {p}_k", f"{number(f'{p}_a', 1)} AS {p}_y", f"{number(f'{p}_a', 3)} AS {p}_dd", f"get({p}_a, 9) AS {p}_z",
+        f"CASE WHEN get({p}_a, 0) = 'n' THEN nullif(array_position(array({names}), lower(left(get({p}_a, 2), 3))), 0) ELSE {number(f'{p}_a', 2)} END AS {p}_mm",
+        f"CASE WHEN get({p}_a, 8) = '' THEN {number(f'{p}_a', 4)} WHEN {number(f'{p}_a', 4)} BETWEEN 1 AND 12 THEN {number(f'{p}_a', 4)} % 12 + if(upper(get({p}_a, 8)) = 'P', 12, 0) END AS {p}_h",
+        f"{number(f'{p}_a', 5)} AS {p}_mi", f"if(get({p}_a, 6) = '', 0, {number(f'{p}_a', 6)}) AS {p}_s",
+        f"if(get({p}_a, 7) = '', 0, try_cast(rpad(left(get({p}_a, 7), 6), 6, '0') AS int)) AS {p}_us",
+    )
+    day = lambda mo, d: f"CASE WHEN {p}_y >= 1 THEN CAST(unix_date(CAST(try_make_timestamp_ntz({p}_y, {mo}, {d}, 0, 0, CAST(0 AS decimal(16,6))) AS date)) AS bigint) * {86_400 * SECOND} END"
+    fixed = "str_to_map('" + ",".join(f"{k}:{v}" for k, v in ABBREVIATIONS.items()) + "')"
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN {p}_h BETWEEN 0 AND 23 AND {p}_mi BETWEEN 0 AND 59 AND {p}_s BETWEEN 0 AND 59 THEN CAST({p}_h * 3600 + {p}_mi * 60 + {p}_s AS bigint) * {SECOND} + {p}_us END AS {p}_c",
+        f"{day(f'CAST({p}_mm AS int)', f'{p}_dd')} AS {p}_d1", f"CASE WHEN {p}_k = 's' THEN {day(f'{p}_dd', f'CAST({p}_mm AS int)')} END AS {p}_d2",
+        f"{apart(f'try_cast(try_element_at({fixed}, upper({p}_z)) AS int)')} AS {p}_o",
+        f"CASE WHEN {p}_z <> '' AND NOT {p}_z RLIKE r'^[A-Za-z]{{1,5}}$' AND {p}_z RLIKE r'{_ZONE}' THEN split(regexp_replace({p}_z, r'{_ZONE}', '$1|$2|$3|$4|$5'), r'\\|', 6) END AS {p}_p",
+    )
+    minutes = f"if(get({p}_p, 2) = '', 0, {number(f'{p}_p', 2)})"
+    df = df.selectExpr(
+        "*",
+        f"""CASE WHEN {p}_d2 IS NULL OR {p}_d1 = {p}_d2 THEN {p}_d1 WHEN {p}_d1 IS NULL THEN {p}_d2
+            WHEN {p}_y * 12 + {p}_mm - 1 = {p}_m THEN {p}_d1 WHEN {p}_y * 12 + {p}_dd - 1 = {p}_m THEN {p}_d2 END + {p}_c AS {p}_l""",
+        f"""coalesce({p}_o, CASE WHEN get({p}_p, 0) <> '' THEN CASE WHEN {minutes} <= 59 AND {number(f'{p}_p', 1)} * 60 + {minutes} <= 1080
+            THEN ({number(f'{p}_p', 1)} * 60 + {minutes}) * if(get({p}_p, 0) = '+', 1, -1) END
+            WHEN get({p}_p, 3) <> '' THEN try_cast(try_element_at({fixed}, upper(get({p}_p, 3))) AS int) END) AS {p}_f""",
+        # the zone a wall time is in, where no offset decides; a zone text that can't be read gives none
+        apart(f"CASE WHEN {p}_z = '' THEN {p}_q WHEN get({p}_p, 0) = '' AND get({p}_p, 3) = '' AND get({p}_p, 4) <> '' THEN get({p}_p, 4) END") + f" AS {p}_n",
     )
-    mi = whole(5)
-    s = F.when(at(6) == "", 0).otherwise(whole(6))
-    micro = F.when(at(7) == "", 0).otherwise(F.rpad(F.substring(at(7), 1, 6), 6, "0").try_cast("int"))
-    clock = F.when(h.between(0, 23) & mi.between(0, 59) & s.between(0, 59), (h * 3600 + mi * 60 + s).cast("bigint") * SECOND + micro)
-    mo = F.when(kind == "n", _month_number(at(2))).otherwise(whole(2))
-    first, second = day_us(whole(1), mo, whole(3)), day_us(whole(1), F.when(kind == "s", whole(3)), whole(2))
-    df = df.withColumns({f"{p}_c": F.when(kind != "e", clock), f"{p}_d1": F.when(kind != "e", first), f"{p}_d2": F.when(kind == "s", second), f"{p}_z": at(9)})
-    in_first, in_second = whole(1) * 12 + whole(2) - 1 == month, whole(1) * 12 + whole(3) - 1 == month
-    day = (
-        F.when(col("d2").isNull() | (col("d1") == col("d2")), col("d1"))
-        .when(col("d1").isNull(), col("d2"))
-        .when(in_first, col("d1"))
-        .when(in_second, col("d2"))
-    )
-    fixed = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
-    short = F.try_element_at(fixed, F.upper(col("z")))
-    zone = F.when(col("z") == "", None).when(short.isNotNull(), None).when(col("z").rlike(_ZONE), F.split(F.regexp_replace(col("z"), _ZONE, "$1|$2|$3|$4|$5"), r"\|", 6))
-    df = df.withColumns({f"{p}_l": day + col("c"), f"{p}_o": short, f"{p}_p": zone})
-    z = lambda i: F.get(col("p"), F.lit(i))
-    hours, minutes = z(1).try_cast("int"), F.when(z(2) == "", 0).otherwise(z(2).try_cast("int"))
-    written = F.when((hours * 60 + minutes <= 18 * 60) & (minutes <= 59), (hours * 60 + minutes) * F.when(z(0) == "+", 1).otherwise(-1))
-    shift = F.coalesce(col("o"), F.when(z(0) != "", written).when(z(3) != "", F.try_element_at(fixed, F.upper(z(3)))))
-    # the zone a wall time is in, where no offset decides; a zone text that can't be read gives none
-    name = F.when(col("z") == "", default_zone).when((z(0) == "") & (z(3) == "") & (z(4) != ""), z(4))
-    epoch = at(1).try_cast("bigint") * F.when(F.length(at(1)) == 10, SECOND).when(F.length(at(1)) == 13, 1000).otherwise(1)
-    instant = F.when(kind == "e", epoch).when(shift.isNotNull(), col("l") - shift.cast("bigint") * (60 * SECOND)).when(name == "UTC", col("l")).otherwise(wall_to_utc(col("l"), name))
-    made = [f"{p}_{n}" for n in ("t", "a", "c", "d1", "d2", "z", "l", "o", "p")]
+    epoch = F.expr(f"try_cast(get({p}_a, 1) AS bigint) * CASE length(get({p}_a, 1)) WHEN 10 THEN {SECOND} WHEN 13 THEN 1000 ELSE 1 END")
+    local, shift, name = F.col(f"{p}_l"), F.col(f"{p}_f"), F.col(f"{p}_n")
+    instant = F.when(F.col(f"{p}_k") == "e", epoch).when(shift.isNotNull(), local - shift.cast("bigint") * (60 * SECOND)).when(name == "UTC", local).otherwise(wall_to_utc(local, name))
     # a wall time without any zone stays available to zone estimation
-    return df.withColumns({out: instant, f"{out}_wall": F.when(col("z") == "", col("l"))}).drop(*made)
+    df = df.withColumns({out: F.get(F.transform(F.array(instant), lambda x: x), F.lit(0)), f"{out}_wall": F.when(F.col(f"{p}_z") == "", local)})
+    return df.drop(*[c for c in df.columns if c.startswith(f"{p}_")])
