@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
+    # one thread of linear algebra per task: eight tasks of eight threads each would only get in each other's way
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(name, "1")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("shutterlake")
