@@ -94,12 +94,12 @@ simple("edit_coverage", "r", {}, {"n": "count(*)", "need_embedding": "count_if(l
 simple("context_profile", "d", {"tod": p.time_of_day("hour"), "label": "label"}, {"focal": "round(percentile(focal, 0.5), 1)", "aperture": "round(percentile(aperture, 0.5), 2)", "iso": "round(percentile(iso, 0.5), 0)", "mean": "round(avg(score), 3)", "n": "greatest(count(focal), count(score), 1)"})
 
 
-@over("r", "SELECT b AS bucket, count(CAST(least(9, floor(score / 10)) AS bigint)) AS n FROM range(0, 10) t(b) LEFT JOIN (SELECT * FROM r WHERE score IS NOT NULL) r ON CAST(least(9, floor(score / 10)) AS bigint) = b GROUP BY b")
+@over("r", "SELECT b AS bucket, count(score) AS n FROM range(0, 10) t(b) LEFT JOIN (SELECT * FROM r WHERE score IS NOT NULL) r ON CAST(least(9, floor(score / 10)) AS bigint) = b GROUP BY b")
 def score_histogram10(rows):
     return histogram(rows, "score", 10, 10)
 
 
-@over("r", "SELECT b AS bucket, count(CAST(least(4, floor(sat / 0.2)) AS bigint)) AS n FROM range(0, 5) t(b) LEFT JOIN (SELECT * FROM r WHERE sat IS NOT NULL) r ON CAST(least(4, floor(sat / 0.2)) AS bigint) = b GROUP BY b")
+@over("r", "SELECT b AS bucket, count(sat) AS n FROM range(0, 5) t(b) LEFT JOIN (SELECT * FROM r WHERE sat IS NOT NULL) r ON CAST(least(4, floor(sat / 0.2)) AS bigint) = b GROUP BY b")
 def saturation_histogram(rows):
     return histogram(rows, "sat", 0.2, 5)
 
