@@ -25,7 +25,7 @@ class _Page(InputPartition):
 
 class CatalogueReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.after = options["path"], options.get("captured_after")
+        self.folder, self.after = options["folder"], options.get("captured_after")
 
     def partitions(self):
         import glob
@@ -65,5 +65,5 @@ class Catalogue(DataSource):
 
 def catalogue(spark: SparkSession, folder: str, captured_after: str | None = None) -> DataFrame:
     spark.dataSource.register(Catalogue)
-    reader = spark.read.format("catalogue").option("path", folder)
-    return (reader.option("captured_after", captured_after) if captured_after else reader).load(folder)
+    reader = spark.read.format("catalogue").option("folder", folder)
+    return (reader.option("captured_after", captured_after) if captured_after else reader).load()
