@@ -3,7 +3,7 @@
 Within a cell each vector, centred on the cell's mean and rotated at random, is kept as one bit per dimension with two
 correction scalars: its distance from the mean and how much of it its own code explains. The inner product with a
 query is estimated from the bits; the estimate's error bound gives a lower and an upper bound for each pair, and only
-pairs whose upper bound reaches the k-th best lower bound of their query are computed exactly.
+pairs whose upper bound reaches the k-th best similarity among those of the best lower bounds are computed exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from shutterlake.llm.vectors import by_cell, fit_cells, per_cell
 
 SCHEMA = "digest binary, neighbours array<binary>, cosines array<float>"
-QUERY_BLOCK, BASE_BLOCK, PAIR_BLOCK = 512, 4096, 16_384
+QUERY_BLOCK, BASE_BLOCK, PAIR_BLOCK = 1024, 2048, 4096
+#: Share of a block's pairs beyond which the pairs chosen by the bounds are computed as one product.
+DENSE = 0.01
 
 
 def rotation(dim: int, seed: int = 3) -> np.ndarray:
@@ -92,12 +94,30 @@ def search_cell(units: np.ndarray, home: np.ndarray, k: int, turn: np.ndarray, e
         for b in range(0, len(units), BASE_BLOCK):
             low[:, b : b + BASE_BLOCK] = query @ codes.estimator(b, min(len(units), b + BASE_BLOCK)).T
         low[np.arange(len(q)), q] = -np.inf
+        # the best lower bounds, computed exactly, give a threshold that lies far above any lower bound
         least = kth_largest(low, k)
-        low += (2 * far)[:, None] * codes.slack  # now the upper bounds
         i, j = np.nonzero(low >= least[:, None])
-        keep = j != q[i]
-        i, j = i[keep], j[keep]
-        yield best_of(q[i], j, dots(units, q[i], j), k)
+        i, j = i[j != q[i]], j[j != q[i]]
+        first, _, sure = best_of(i, j, dots(units, q[i], j), k)
+        full = np.bincount(first, minlength=len(q)) == k
+        worst = np.full(len(q), np.inf, np.float32)
+        np.minimum.at(worst, first, sure)
+        # bounds leave out the query's own share of the inner product
+        least = np.where(full, worst - (codes.shift[q] - codes.mean @ codes.mean) - 1e-5, -np.inf)
+        low += (2 * far)[:, None] * codes.slack  # now the upper bounds
+        chosen = low >= least[:, None]
+        if np.count_nonzero(chosen) > DENSE * chosen.size:
+            # where the bounds leave this many, one matrix product over the block costs less than fetching the pairs
+            exact = units[q] @ units.T
+            exact[~chosen] = -np.inf
+            exact[np.arange(len(q)), q] = -np.inf
+            i, j = np.nonzero(exact >= np.maximum(kth_largest(exact, k), -2)[:, None])
+            cosine = exact[i, j]
+        else:
+            i, j = np.nonzero(chosen)
+            i, j = i[j != q[i]], j[j != q[i]]
+            cosine = dots(units, q[i], j)
+        yield best_of(q[i], j, cosine, k)
 
 
 def lists(names: list[bytes], i: np.ndarray, j: np.ndarray, cosine: np.ndarray, owners: np.ndarray) -> pa.Table:
