@@ -1,7 +1,8 @@
 """Choosing a varied subset by a round robin over a grid of several features; SQL only.
 
-The features are the sums of equal stretches of the normalised vector. Each is cut at its quantiles into bins of equal
-weight, and the bins of the coarse features together are a cell. Within a cell the records are ranked by a round robin
+The features are the sums of equal stretches of the normalised vector. Each is cut into bins of equal width over its
+range - not of equal weight, as then a long series would be given bins of its own - and the bins of the coarse features
+together are a cell. Within a cell the records are ranked by a round robin
 of its own over finer bins, so that a long series of alike photos, which shares them, falls behind what differs from it.
 The subset takes all records of rank 1, then all of rank 2 and so on, cells in shuffled order, until it is full.
 """
@@ -44,7 +45,8 @@ def varied_subset(photos: DataFrame, size: int | None = None, share: float = 0.0
     want = total if size is None and total == 0 else max(1, round(total * share)) if size is None else size
     # so many coarse features of two bins that there are about half as many cells as records to choose
     coarse = max(1, min(parts, max(1, want // 2).bit_length() - 1))
-    cuts = made.agg(*[F.percentile_approx(F.get("f", F.lit(i)), F.lit(0.5) if i < coarse else F.array(F.lit(1 / 3), F.lit(2 / 3)), 2000).alias(f"c{i}") for i in range(parts)])
+    edge = lambda i, part: F.min(F.get("f", F.lit(i))) + (F.max(F.get("f", F.lit(i))) - F.min(F.get("f", F.lit(i)))) * part
+    cuts = made.agg(*[edge(i, 0.5).alias(f"c{i}") if i < coarse else F.array(edge(i, 1 / 3), edge(i, 2 / 3)).alias(f"c{i}") for i in range(parts)])
     cell = " + ".join(f"if(f[{i}] > c{i}, {1 << i}, 0)" for i in range(coarse))
     fine = ", ".join(f"if(f[{i}] > c{i}[1], 2, if(f[{i}] > c{i}[0], 1, 0))" for i in range(coarse, parts)) or "0"
     cuts.createOrReplaceTempView("__cuts")
