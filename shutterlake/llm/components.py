@@ -1,13 +1,19 @@
 """Consolidating pairwise matches into groups.
 
-The giant component, if there is one, is peeled off first: breadth-first joins from the vertex of highest degree reach
-all of it in as many rounds as it is deep, and an anti-join takes it away. What remains are small components, which
-minimum propagation labels; each round also replaces a vertex's label by its label's label, so that chains take
-logarithmically many rounds.
+The giant component, if there is one, is peeled off: breadth-first joins from the vertex of highest degree reach all of
+it in as many rounds as it is deep, and an anti-join takes it away. What remains are small components, which minimum
+propagation labels; each round also replaces a vertex's label by its label's label, so that chains take logarithmically
+many rounds.
+
+Matches form long chains, so that the giant component can be hundreds of links deep. A few contractions therefore come
+first: every vertex moves on to the end of a short walk along smallest neighbours, and links move with their ends. That
+keeps what hangs together, as well as its smallest vertex, and shortens every way by a large factor.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,31 +37,43 @@ def _peel(both: DataFrame) -> DataFrame | None:
     top = both.groupBy("a").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "a")).alias("t")).first()["t"]
     if top is None:
         return None
-    reached = both.where(F.col("a") == F.lit(bytes(top["a"]))).select(F.col("a").alias("v")).limit(1)
-    reached = frontier = cut(reached)
+    layers = [cut(both.where(F.col("a") == F.lit(bytes(top["a"]))).select(F.col("a").alias("v")).limit(1))]
     while True:
         # a semi-join first, so that a hub in the frontier costs its links once and nothing is multiplied
-        step = both.join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        frontier = cut(step.join(reached, "v", "left_anti"))
-        if frontier.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(frontier))
+        step = both.join(layers[-1].withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+        # what a layer's links lead to lies in the layer before, in itself or in the next one
+        for seen in layers[-2:]:
+            step = step.join(seen, "v", "left_anti")
+        step = cut(step)
+        if step.isEmpty():
+            return reduce(DataFrame.unionByName, layers)
+        layers.append(step)
 
 
-def groups(links: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``links`` (a, b): ``root`` is the smallest vertex linked directly or indirectly.
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves (v, to), links (a, b) between where their ends moved to): four steps along smallest neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+    for _ in range(2):
+        hook = cut(hook)
+        hook = hook.join(hook.select(F.col("v").alias("to"), F.col("to").alias("up")), "to").select("v", F.col("up").alias("to"))
+    moves = cut(hook)
+    for end in "ab":
+        edges = edges.join(moves.select(F.col("v").alias(end), F.col("to").alias(f"__{end}")), end)
+    moved = edges.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).where("a <> b").distinct()
+    return moves, cut(moved)
 
-    Repeated and reversed links are allowed; without links the result is empty.
-    """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null and a <> b").distinct()
-    both = cut(both)
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(v, root) of a graph of little depth: the giant component by breadth-first joins, the rest by minimum propagation."""
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     giant = _peel(both)
     if giant is None:
         return links.select(F.col("a").alias("v"), F.col("a").alias("root")).limit(0)
     giant = cut(giant)
     root = giant.agg(F.min("v").alias("root"))
     done = giant.crossJoin(F.broadcast(root))  # one row
-    rest = both.join(giant.withColumnRenamed("v", "a"), "a", "left_anti")
+    rest = cut(both.join(giant.withColumnRenamed("v", "a"), "a", "left_anti"))
     label = cut(rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"))
     while True:
         seen = rest.join(label.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
@@ -69,6 +87,24 @@ def groups(links: DataFrame) -> DataFrame:
             return done.unionByName(label)
 
 
+def groups(links: DataFrame, contractions: int = 4) -> DataFrame:
+    """(v, root) for every vertex of ``links`` (a, b): ``root`` is the smallest vertex linked directly or indirectly.
+
+    Repeated and reversed links are allowed; without links the result is empty.
+    """
+    edges = cut(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    walks = []
+    for _ in range(contractions):
+        moves, edges = _contract(edges)
+        walks.append(moves)
+    label = _labels(edges)
+    for moves in reversed(walks):
+        # a vertex without a label of its own is all that is left of its group
+        found = moves.join(label.select(F.col("v").alias("to"), "root"), "to", "left")
+        label = cut(found.select("v", F.coalesce("root", "to").alias("root")))
+    return label
+
+
 def group_rows(found: DataFrame) -> DataFrame:
     """(root_hash, hash): one row for each member but the root."""
     return found.where("v <> root").select(F.lower(F.hex("root")).alias("root_hash"), F.lower(F.hex("v")).alias("hash"))
