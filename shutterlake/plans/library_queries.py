@@ -249,10 +249,10 @@ def albums_by_label(rows):
 
 @over("r", ", h AS (SELECT *, row_number() OVER (ORDER BY seen, rid) AS i, count(*) OVER () AS total FROM r WHERE seen IS NOT NULL) SELECT CASE WHEN i <= total // 2 THEN 'early' ELSE 'recent' END AS half, count(*) AS n, round(avg(score), 4) AS mean FROM h WHERE total >= 4 GROUP BY 1")
 def half_split(rows):
-    # the boundary comes from exact quantiles of the order, not from one global window: the row at half the count
-    dated = rows.where("seen IS NOT NULL").select("seen", "rid", "score")
-    counts = dated.groupBy("seen").agg(F.count("*").alias("n")).withColumn("before", F.expr("coalesce(sum(n) over (order by seen rows between unbounded preceding and 1 preceding), 0)")).withColumn("total", F.expr("sum(n) over ()"))
-    placed = dated.join(counts, "seen").withColumn("i", F.expr("before + row_number() over (partition by seen order by rid)"))
+    # a row's place is its day's offset plus its place within the day, so that no window spans all records
+    dated = rows.where("seen IS NOT NULL").selectExpr("seen", "rid", "score", "CAST(seen AS date) AS day")
+    days = dated.groupBy("day").agg(F.count("*").alias("n")).selectExpr("day", "coalesce(sum(n) over (order by day rows between unbounded preceding and 1 preceding), 0) AS before", "sum(n) over () AS total")
+    placed = dated.join(days, "day").withColumn("i", F.expr("before + row_number() over (partition by day order by seen, rid)"))
     return grouped(placed.where("total >= 4"), {"half": "CASE WHEN i <= total div 2 THEN 'early' ELSE 'recent' END"}, {"n": "count(*)", "mean": "round(avg(score), 4)"})
 
 
