@@ -21,20 +21,34 @@ R = f"WITH r AS ({rec.SQL})"
 L = R + ", d AS (SELECT *, unnest(labels) AS label FROM r)"
 
 
+def _counted(sql: str) -> str:
+    """``count_if`` spelled so that its type is the same in every engine."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + 9, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def over(kind: str, sql: str | None, name: str | None = None):
     """Register a query over the records ('r'), their labels ('d') or the folder's tables (''), with its SQL after the common views."""
 
     def register(f: Callable) -> Callable:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             if kind == "":
-                return f(spark, folder)
-            rows = rec.records(table(spark, folder, "photos"))
-            return f(rec.exploded(rows) if kind == "d" else rows)
+                out = f(spark, folder)
+            else:
+                rows = rec.records(table(spark, folder, "photos"))
+                out = f(rec.exploded(rows) if kind == "d" else rows)
+            # quotients of decimal literals come out as doubles, as in other engines
+            return out.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes])
 
         key = name or f.__name__
         QUERIES[key] = run
         if sql:
-            ORACLES[key] = (L if kind == "d" else R if kind == "r" else "") + " " + sql
+            ORACLES[key] = _counted((L if kind == "d" else R if kind == "r" else "") + " " + sql)
         return f
 
     return register
