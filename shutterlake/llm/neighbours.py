@@ -136,7 +136,7 @@ def nearest(photos: DataFrame, k: int = 10, hash_col: str = "hash", vector_col:
     ignored. Accuracy: a neighbour is missed only if it has no copy in the query's home cell, or if an error bound of
     ``epsilon`` standard errors fails.
     """
-    cells = fit_cells(photos, hash_col, vector_col, dim, cell_size, margin)
+    cells = fit_cells(photos, hash_col, vector_col, dim, cell_size, margin, divide=True)
     if cells is None:
         return photos.sparkSession.createDataFrame([], SCHEMA)
     turn: dict = {}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions.digests import digest
 
 #: Most vectors that the fit of the cells may draw; it is the documented bound of the sample on the driver.
-SAMPLE_BOUND = 16_384
+SAMPLE_BOUND = 8_192
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -59,7 +59,7 @@ def unit(v: np.ndarray) -> np.ndarray:
     if tiny.any():  # values whose squares leave float32's range
         v = v / np.abs(v).max(axis=1, keepdims=True)
         norm = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
-    return (v / norm[:, None]).astype(np.float32)
+    return v / norm[:, None].astype(np.float32)
 
 
 def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -79,11 +79,15 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7
 
 @dataclass
 class Cells:
-    """Centres of the cells and how far below the home's similarity a cell may lie to get a copy."""
+    """Centres of the cells and how far below the home's similarity a cell may lie to get a copy.
+
+    ``parts``: in how many tasks the home vectors of each cell are looked after; each of them gets the whole cell.
+    """
 
     centres: np.ndarray
     margin: float
     dim: int
+    parts: np.ndarray
 
     def place(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, is home) of all copies."""
@@ -93,8 +97,11 @@ class Cells:
         return row, cell, cell == home[row]
 
 
-def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_size: int, margin: float, sample: int = SAMPLE_BOUND) -> Cells | None:
-    """Cells of about ``cell_size`` vectors each, fitted on at most about ``sample`` digests drawn by hash; None if nothing is usable."""
+def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_size: int, margin: float, divide: bool, sample: int = SAMPLE_BOUND) -> Cells | None:
+    """Cells of about ``cell_size`` vectors each, fitted on at most about ``sample`` digests drawn by hash; None if nothing is usable.
+
+    With ``divide`` a cell that the sample shows to hold several times as many is looked after by several tasks.
+    """
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null")
     total = keyed.agg(F.approx_count_distinct("d", 0.02)).first()[0]
     part = min(1.0, sample / max(1, total))
@@ -109,16 +116,26 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array([d[i] for i in new]), pa.array([pack(v[i]) for i in new], pa.binary())], names=["d", "p"])
 
-    rows = drawn.mapInArrow(first_of_each, "d string, p binary").groupBy("d").agg(F.min("p").alias("p")).orderBy("d").limit(sample + sample // 8).toPandas()
-    if not len(rows):
+    def fit(table: pa.Table) -> pa.Table:
+        # the sample is bounded, so one task holds it; the driver gets the centres alone
+        order = np.argsort(np.array(table.column("d").to_pylist()))[: sample + sample // 8]
+        units = unit(unpack(table.column("p").take(pa.array(order)).to_pylist(), dim))
+        k = max(1, min(len(units), -(-int(total) // cell_size)))
+        centres = spherical_kmeans(units, k)
+        held = np.bincount((units @ centres.T).argmax(axis=1), minlength=k) * (int(total) / len(units))
+        return pa.table({"i": pa.array(range(k), pa.int32()), "centre": pa.array([c.astype("<f4").tobytes() for c in centres], pa.binary()), "held": pa.array(held, pa.float64())})
+
+    rows = drawn.mapInArrow(first_of_each, "d string, p binary").groupBy("d").agg(F.min("p").alias("p"))
+    fitted = rows.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: fit(t), "i int, centre binary, held double").toPandas().sort_values("i")
+    if not len(fitted):
         return None
-    units = unit(unpack(rows["p"].tolist(), dim))
-    k = max(1, min(len(units), -(-int(total) // cell_size)))
-    return Cells(spherical_kmeans(units, k), margin, dim)
+    centres = np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]])
+    held = fitted["held"].to_numpy()
+    return Cells(centres, margin, dim, np.maximum(1, np.round(held / (2 * cell_size))).astype(np.int32) if divide else np.ones(len(held), np.int32))
 
 
 def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) -> DataFrame:
-    """(cell, home, digest binary, packed) of all usable vectors, repeats of a digest already reduced within a task.
+    """(cell, part, home, digest binary, packed) of all usable vectors, repeats of a digest already reduced within a task.
 
     Rows without a digest or a usable vector are left out.
     """
@@ -134,19 +151,25 @@ def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) ->
             row, cell, home = cells.place(unit(v))
             packed = [pack(x) for x in v]
             names = [bytes.fromhex(d[i]) for i in new]
+            # once for each task of the cell, at home in one of them by its digest
+            times = cells.parts[cell]
+            part = np.concatenate([np.arange(t) for t in times])
+            row, cell, home = np.repeat(row, times), np.repeat(cell, times), np.repeat(home, times)
+            own = np.array([int.from_bytes(n[-4:], "little") for n in names], np.int64)[row] % cells.parts[cell]
+            home &= own == part
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(home), pa.array([names[i] for i in row], pa.binary()), pa.array([packed[i] for i in row], pa.binary())],
-                names=["cell", "home", "digest", "packed"],
+                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(home), pa.array([names[i] for i in row], pa.binary()), pa.array([packed[i] for i in row], pa.binary())],
+                names=["cell", "part", "home", "digest", "packed"],
             )
 
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
-    return keyed.mapInArrow(copies, "cell int, home boolean, digest binary, packed binary")
+    return keyed.mapInArrow(copies, "cell int, part int, home boolean, digest binary, packed binary")
 
 
 def per_cell(placed: DataFrame, search: Callable, schema: str, dim: int) -> DataFrame:
-    """``search(home digests, home units, all digests, all units, home's positions)`` -> pandas, once for each cell.
+    """``search(digests, units, positions of the home ones)`` -> a table, once for each task of a cell.
 
-    In a cell digests are distinct and in order. Cells are grouped by a shuffle on the cell alone.
+    In a cell digests are distinct and in order. Cells and their parts are grouped by one shuffle.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -161,4 +184,4 @@ def per_cell(placed: DataFrame, search: Callable, schema: str, dim: int) -> Data
         names = frame["digest"].tolist()
         return search(names, units, np.flatnonzero(frame["home"].to_numpy()))
 
-    return placed.groupBy("cell").applyInArrow(run, schema)
+    return placed.groupBy("cell", "part").applyInArrow(run, schema)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.llm import clusters, components, mixing, neighbours, packing, sentences, survivor, tokens, variety
-from shutterlake.llm.vectors import pack, unpack, unit
+from shutterlake.llm.vectors import by_cell, fit_cells, pack, unpack, unit
 
 DIM = 32
 PHOTOS = "hash string, dinov3 array<float>, cell int, digest string, rank int"
@@ -55,6 +55,16 @@ def test_nearest(library, cell_size):
     assert all(len(x) == 5 and n not in x for n, x in got.items())
 
 
+def test_large_cells_are_divided(library):
+    photos, names, _ = library
+    cells = fit_cells(photos, "hash", "dinov3", DIM, 40, 0.3, divide=True)
+    cells.parts[:] = 3
+    rows = by_cell(photos, "hash", "dinov3", cells).select("cell", "part", "home", F.hex("digest").alias("d")).distinct().collect()
+    assert sorted(r.d.lower() for r in rows if r.home) == names
+    whole = {c: {r.d for r in rows if r.cell == c} for c in {r.cell for r in rows}}
+    assert all({r.d for r in rows if (r.cell, r.part) == k} == whole[k[0]] for k in {(r.cell, r.part) for r in rows})
+
+
 def test_nearest_of_nothing_and_of_one(spark, library):
     photos, names, _ = library
     assert neighbours.nearest(photos.limit(0), 3, dim=DIM).count() == 0
