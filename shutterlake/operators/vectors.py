@@ -84,6 +84,29 @@ def seed_count(n: int) -> int:
     return min(max(2, round(5 * n**0.5)), 1500)
 
 
+def select_seeds(vectors: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
+    """(key, cluster): of each k-means cluster that is not empty the member nearest to its centre, ties to the smaller key.
+
+    There are min(seed_count(n), n // 2) clusters of the n rows with a vector; a single row is its own seed.
+    """
+    data = vectors.where(f"{column} is not null").select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features"))
+    n = data.count()
+    if n < 2:
+        return data.select(key, F.lit(0).cast("bigint").alias("cluster"))
+    model = KMeans(k=max(1, min(seed_count(n), n // 2)), seed=seed, maxIter=50).fit(data)
+    held = vectors.sparkSession.sparkContext.broadcast(np.stack(model.clusterCenters()))
+
+    def to_centre(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                cluster = b["cluster"].to_numpy()
+                yield pd.DataFrame({key: b[key], "cluster": cluster, "dist": np.linalg.norm(np.stack(b["v"].to_numpy()) - held.value[cluster], axis=1)})
+
+    placed = model.transform(data).select(key, F.col("prediction").cast("bigint").alias("cluster"), vector_to_array("features").alias("v"))
+    near = placed.mapInPandas(to_centre, f"{key} bigint, cluster bigint, dist double")
+    return near.groupBy("cluster").agg(F.min(F.struct("dist", key)).alias("e")).select(f"e.{key}", "cluster")
+
+
 def kmeans(vectors: DataFrame, key: str, column: str, k: int | None = None, seed: int = 42) -> DataFrame:
     """(key, cluster); k defaults to a thirtieth of the rows, between 2 and 10."""
     n = vectors.count()

@@ -245,6 +245,33 @@ def ood_flags(spark, folder):
     return near.crossJoin(F.broadcast(limit)).selectExpr("vec_id", "dist > limit AS outside")
 
 
+# the same over the seeds of the dealt method, which SQL cannot select
+
+
+@over("", None)
+def seed_selection(spark, folder):
+    return vectors.select_seeds(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+def _near_seeds(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    # bounded by seed_count
+    seeds = rows.join(vectors.select_seeds(rows, "vec_id", "embedding"), "vec_id").select("embedding").collect()
+    return vectors.seed_distance(rows, np.array([r[0] for r in seeds]), "vec_id", "embedding").withColumn("dist", F.round("dist", 5) + 0.0)
+
+
+@over("", None)
+def seed_coverage_threshold(spark, folder):
+    return _near_seeds(spark, folder).agg(F.round(F.percentile("dist", 0.95), 4).alias("threshold"))
+
+
+@over("", None)
+def seed_ood_flags(spark, folder):
+    near = _near_seeds(spark, folder)
+    limit = near.agg(F.percentile("dist", 0.95).alias("limit"))
+    return near.crossJoin(F.broadcast(limit)).selectExpr("vec_id", "dist > limit AS outside")
+
+
 @over("", """WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), s AS (SELECT label, d, sum(x) AS s, count(*) AS n FROM p GROUP BY 1, 2)
     SELECT label AS cluster, max(n) AS n, CASE WHEN max(n) > 1 THEN round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 4) + 0.0 END AS within FROM s GROUP BY 1""")
 def cluster_quality(spark, folder):

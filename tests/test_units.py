@@ -108,6 +108,22 @@ def test_planted_near_duplicates(spark):
     assert vectors.components(pairs).count() == 12
 
 
+def test_seeds_come_from_the_whole_table(spark):
+    rng = np.random.default_rng(4)
+    spots = rng.standard_normal((20, 8)) * 50
+    # the first half of the ids lies in a single spot, so a prefix of ids would know no other
+    at = [0] * 100 + [i % 20 for i in range(100)]
+    points = spots[at] + rng.standard_normal((200, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(999, None)], "id bigint, v array<double>")
+    rows = vectors.select_seeds(df, "id", "v").collect()
+    assert 20 <= len(rows) == len({r.id for r in rows}) <= vectors.seed_count(200) == 71
+    assert {at[r.id] for r in rows} == set(range(20))
+    far = vectors.seed_distance(df, points[[r.id for r in rows]], "id", "v").agg(F.max("dist")).first()[0]
+    assert far < 2
+    assert [r.id for r in vectors.select_seeds(df.where("id = 7"), "id", "v").collect()] == [7]
+    assert vectors.select_seeds(df.limit(0), "id", "v").count() == 0
+
+
 def test_ridge_is_the_closed_form(spark):
     rng = np.random.default_rng(3)
     x, a = rng.standard_normal((120, 4)), 10.0
