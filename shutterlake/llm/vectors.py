@@ -98,14 +98,23 @@ class Cells:
 
 
 def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_size: int, margin: float, divide: bool, sample: int = SAMPLE_BOUND) -> Cells | None:
-    """Cells of about ``cell_size`` vectors each, fitted on at most about ``sample`` digests drawn by hash; None if nothing is usable.
+    """Cells of about ``cell_size`` vectors each, fitted on at most about ``sample`` digests with a usable vector, drawn by hash; None if nothing is usable.
 
     With ``divide`` a cell that the sample shows to hold several times as many is looked after by several tasks.
     """
-    keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null")
-    total = keyed.agg(F.approx_count_distinct("d", 0.02)).first()[0]
-    part = min(1.0, sample / max(1, total))
-    drawn = keyed.where(F.pmod(F.xxhash64("d", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, _ = usable_rows(b.column("v"), dim)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(at))], names=["d"])
+
+    # the rate of the draw follows from the usable digests alone; the count is only near, but 0 just if there is none
+    total = keyed.mapInArrow(usable, "d string").agg(F.approx_count_distinct("d", 0.02)).first()[0]
+    if not total:
+        return None
+    part = min(1.0, sample / total)
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -125,10 +134,13 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
         held = np.bincount((units @ centres.T).argmax(axis=1), minlength=k) * (int(total) / len(units))
         return pa.table({"i": pa.array(range(k), pa.int32()), "centre": pa.array([c.astype("<f4").tobytes() for c in centres], pa.binary()), "held": pa.array(held, pa.float64())})
 
-    rows = drawn.mapInArrow(first_of_each, "d string, p binary").groupBy("d").agg(F.min("p").alias("p"))
-    fitted = rows.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: fit(t), "i int, centre binary, held double").toPandas().sort_values("i")
-    if not len(fitted):
-        return None
+    while True:
+        drawn = keyed.where(F.pmod(F.xxhash64("d", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
+        rows = drawn.mapInArrow(first_of_each, "d string, p binary").groupBy("d").agg(F.min("p").alias("p"))
+        fitted = rows.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: fit(t), "i int, centre binary, held double").toPandas().sort_values("i")
+        if len(fitted) or part >= 1:
+            break
+        part = min(1.0, 8 * part)  # an empty draw is not an empty table
     centres = np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]])
     held = fitted["held"].to_numpy()
     return Cells(centres, margin, dim, np.maximum(1, np.round(held / (2 * cell_size))).astype(np.int32) if divide else np.ones(len(held), np.int32))

@@ -65,6 +65,17 @@ def test_large_cells_are_divided(library):
     assert all({r.d for r in rows if (r.cell, r.part) == k} == whole[k[0]] for k in {(r.cell, r.part) for r in rows})
 
 
+def test_few_usable_vectors_among_many_digests(spark):
+    rng = np.random.default_rng(9)
+    rows = [(name(i), None) for i in range(3000)] + [(name(4000 + i), rng.standard_normal(DIM).astype(np.float32).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "hash string, dinov3 array<float>")
+    cells = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, divide=False, sample=40)
+    assert 3 <= len(cells.centres) <= 5
+    # a bound that draws next to nothing must not empty the table
+    few = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, divide=False, sample=1)
+    assert few is not None and by_cell(df, "hash", "dinov3", few).where("home").select("digest").distinct().count() == 40
+
+
 def test_nearest_of_nothing_and_of_one(spark, library):
     photos, names, _ = library
     assert neighbours.nearest(photos.limit(0), 3, dim=DIM).count() == 0
