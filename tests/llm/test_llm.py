@@ -109,6 +109,54 @@ def test_average_linkage_leaves_chains_apart():
     assert label.tolist() == [0, 0, 2, 2]
 
 
+def bridged():
+    """Two dense series of 30, 0.3 between them, one pair at 0.56: (names, units)."""
+    g = np.full((60, 60), 0.3)
+    g[:30, :30] = g[30:, 30:] = 0.65
+    np.fill_diagonal(g, 1)
+    g[29, 30] = g[30, 29] = 0.56
+    w, v = np.linalg.eigh(g)
+    assert w.min() > 0
+    # neighbours in digest order, so that the bridge is a kept link
+    return [f"{i:064x}" for i in range(60)], unit((v * np.sqrt(w)).astype(np.float32))
+
+
+@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (20, 1000), (20, 0)])
+def test_a_weak_bridge_does_not_join_dense_series(spark, cell_size, finish):
+    names, units = bridged()
+    df = spark.createDataFrame([(n, u.tolist()) for n, u in zip(names, units)], "hash string, dinov3 array<float>")
+    rows = clusters.cluster(df, 0.55, k=10, dim=60, cell_size=cell_size, margin=0.9, finish=finish).collect()
+    label = {r.digest.hex(): r.cluster.hex() for r in rows}
+    assert [label[n] for n in names] == [min(names[:30])] * 30 + [min(names[30:])] * 30
+
+
+@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (60, 1000), (60, 0)])
+def test_clusters_are_those_of_average_linkage(library, cell_size, finish):
+    photos, names, units = library
+    s = units.astype(np.float64) @ units.T.astype(np.float64)
+    sets = [[i] for i in range(len(names))]
+    mean = s.copy()
+    np.fill_diagonal(mean, -2)
+    while mean.max() >= 0.5:
+        i, j = sorted(np.unravel_index(mean.argmax(), mean.shape))
+        sets[i] += sets[j]
+        sets[j] = []
+        mean[j], mean[:, j] = -2, -2
+        for x in range(len(sets)):
+            if x != i and sets[x]:
+                mean[i, x] = mean[x, i] = s[np.ix_(sets[i], sets[x])].mean()
+    want = {frozenset(names[x] for x in g) for g in sets if g}
+    rows = clusters.cluster(photos, 0.5, k=10, dim=DIM, cell_size=cell_size, margin=0.9, finish=finish).collect()
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r.cluster.hex(), []).append(r.digest.hex())
+    assert {frozenset(g) for g in got.values()} == want
+    at = {n: i for i, n in enumerate(names)}
+    for r in rows:
+        others = [at[x] for x in got[r.cluster.hex()] if x != r.digest.hex()]
+        assert r.typical is None if not others else abs(r.typical - s[at[r.digest.hex()], others].mean()) < 1e-5
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
