@@ -157,6 +157,24 @@ def test_clusters_are_those_of_average_linkage(library, cell_size, finish):
         assert r.typical is None if not others else abs(r.typical - s[at[r.digest.hex()], others].mean()) < 1e-5
 
 
+def test_every_digest_is_in_a_described_cluster(library):
+    photos, names, units = library
+    found = clusters.cluster(photos, 0.8, k=4, dim=DIM, cell_size=10_000)
+    rows = clusters.described(found).collect()
+    sizes = {r.cluster: r.size for r in rows}
+    assert sum(sizes.values()) == len(names) and min(sizes.values()) == 1
+    assert all(r.hash == r.cluster and r.typicality is None for r in rows if r.size == 1)
+    # the most typical is the nearest to the others of its own cluster, whatever it is linked to elsewhere
+    at = {n: i for i, n in enumerate(names)}
+    held: dict = {}
+    for r in found.collect():
+        held.setdefault(r.cluster.hex(), []).append(at[r.digest.hex()])
+    for r in rows:
+        g = held[r.cluster]
+        if r.rank == 1 and len(g) > 1:
+            assert abs(r.typicality - max((units[i] @ units[g].sum(axis=0) - 1) / (len(g) - 1) for i in g)) < 1e-3
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
