@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +32,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+#: Folder per application that had none set and runs on one machine.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shutterlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint directory the context was given.
+
+    A session of local threads (tests) without either gets a temporary folder; on a cluster a missing setting is an error,
+    as a folder of one machine would not be seen by the others.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = folder = tempfile.mkdtemp(prefix="shutterlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _local[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
