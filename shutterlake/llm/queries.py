@@ -28,7 +28,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return clusters.closed_clusters(clusters.cluster(table(spark, folder, "photos")))
+    return clusters.closed_clusters(clusters.cluster(table(spark, folder, "photos"), typicality=False))
 
 
 def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ nearly as similar as the home's, so that neighbours across a border still meet.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest
 
-#: Most vectors that the fit of the cells may draw; it is the documented bound of the sample on the driver.
-SAMPLE_BOUND = 8_192
+#: Least and most vectors that the fit of the cells draws, in one executor task; in between it draws ``PER_CELL`` for each cell.
+SAMPLE_LEAST, SAMPLE_BOUND, PER_CELL = 8_192, 65_536, 16
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -66,7 +67,7 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(rounds):
-        home = (sample @ centres.T).argmax(axis=1)
+        home = nearest_centre(sample, centres)
         order = np.argsort(home, kind="stable")
         present, first = np.unique(home[order], return_index=True)
         sums = np.add.reduceat(sample[order], first, axis=0)
@@ -77,11 +78,29 @@ def spherical_kmeans(sample: np.ndarray, k: int, rounds: int = 12, seed: int = 7
     return centres.astype(np.float32)
 
 
+def nearest_centre(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(units[s : s + 4096] @ centres.T).argmax(axis=1) for s in range(0, len(units), 4096)]) if len(units) else np.empty(0, int)
+
+
+def fit_centres(sample: np.ndarray, k: int, wide: int = 64) -> np.ndarray:
+    """About ``k`` centres, in levels: where there are many, each of a few coarse clusters is divided on its own share of the sample."""
+    if k <= wide:
+        return spherical_kmeans(sample, k)
+    coarse = spherical_kmeans(sample, round(k**0.5))
+    home = nearest_centre(sample, coarse)
+    out = []
+    for c in range(len(coarse)):
+        own = sample[home == c]
+        if len(own):
+            out.append(spherical_kmeans(own, max(1, min(len(own), round(k * len(own) / len(sample))))))
+    return np.concatenate(out)
+
+
 @dataclass
 class Cells:
     """Centres of the cells and how far below the home's similarity a cell may lie to get a copy.
 
-    ``parts``: in how many tasks the home vectors of each cell are looked after; each of them gets the whole cell.
+    ``parts``: into how many parts each cell is divided; a task then holds two of them, so its size doesn't grow with the cell.
     """
 
     centres: np.ndarray
@@ -96,11 +115,16 @@ class Cells:
         row, cell = np.nonzero(s >= s[np.arange(len(s)), home][:, None] - self.margin)
         return row, cell, cell == home[row]
 
+    @property
+    def divided(self) -> bool:
+        return bool((self.parts > 1).any())
 
-def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_size: int, margin: float, divide: bool, sample: int = SAMPLE_BOUND) -> Cells | None:
-    """Cells of about ``cell_size`` vectors each, fitted on at most about ``sample`` digests with a usable vector, drawn by hash; None if nothing is usable.
 
-    With ``divide`` a cell that the sample shows to hold several times as many is looked after by several tasks.
+def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_size: int, margin: float, sample: int | None = None) -> Cells | None:
+    """Cells of about ``cell_size`` vectors each, fitted on a sample of digests with a usable vector, drawn by hash; None if nothing is usable.
+
+    The sample grows with the number of cells from ``SAMPLE_LEAST`` to ``SAMPLE_BOUND``; ``sample`` sets it. Cells that the
+    sample shows to hold, with their copies, more than twice as many are divided into parts.
     """
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
 
@@ -114,6 +138,8 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
     total = keyed.mapInArrow(usable, "d string").agg(F.approx_count_distinct("d", 0.02)).first()[0]
     if not total:
         return None
+    wanted = -(-int(total) // cell_size)
+    sample = sample or min(SAMPLE_BOUND, max(SAMPLE_LEAST, PER_CELL * wanted))
     part = min(1.0, sample / total)
 
     def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +155,12 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
         # the sample is bounded, so one task holds it; the driver gets the centres alone
         order = np.argsort(np.array(table.column("d").to_pylist()))[: sample + sample // 8]
         units = unit(unpack(table.column("p").take(pa.array(order)).to_pylist(), dim))
-        k = max(1, min(len(units), -(-int(total) // cell_size)))
-        centres = spherical_kmeans(units, k)
-        held = np.bincount((units @ centres.T).argmax(axis=1), minlength=k) * (int(total) / len(units))
-        return pa.table({"i": pa.array(range(k), pa.int32()), "centre": pa.array([c.astype("<f4").tobytes() for c in centres], pa.binary()), "held": pa.array(held, pa.float64())})
+        centres = fit_centres(units, max(1, min(len(units), wanted)))
+        cells = Cells(centres, margin, dim, np.ones(len(centres), np.int32))
+        held = np.zeros(len(centres))
+        for s in range(0, len(units), 4096):
+            np.add.at(held, cells.place(units[s : s + 4096])[1], int(total) / len(units))
+        return pa.table({"i": pa.array(range(len(centres)), pa.int32()), "centre": pa.array([c.astype("<f4").tobytes() for c in centres], pa.binary()), "held": pa.array(held, pa.float64())})
 
     while True:
         drawn = keyed.where(F.pmod(F.xxhash64("d", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
@@ -142,15 +170,18 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
             break
         part = min(1.0, 8 * part)  # an empty draw is not an empty table
     centres = np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]])
-    held = fitted["held"].to_numpy()
-    return Cells(centres, margin, dim, np.maximum(1, np.round(held / (2 * cell_size))).astype(np.int32) if divide else np.ones(len(held), np.int32))
+    parts = np.ceil(fitted["held"].to_numpy() / cell_size - 1).astype(np.int32)  # 1 up to twice the size
+    return Cells(centres, margin, dim, np.maximum(1, parts))
 
 
 def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) -> DataFrame:
-    """(cell, part, home, digest binary, packed) of all usable vectors, repeats of a digest already reduced within a task.
+    """(cell, lo, hi, part, whole, home, digest binary, packed) of all usable vectors, repeats of a digest already reduced within a task.
 
-    Rows without a digest or a usable vector are left out.
+    A divided cell comes as the pairs (lo, hi) of its parts, so that every two of its vectors meet in just one of them and
+    none holds more than two parts; a vector's part follows from the vector, so that equal ones share it. Rows without a
+    digest or a usable vector are left out.
     """
+
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
@@ -163,37 +194,66 @@ def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) ->
             row, cell, home = cells.place(unit(v))
             packed = [pack(x) for x in v]
             names = [bytes.fromhex(d[i]) for i in new]
-            # once for each task of the cell, at home in one of them by its digest
             times = cells.parts[cell]
-            part = np.concatenate([np.arange(t) for t in times])
-            row, cell, home = np.repeat(row, times), np.repeat(cell, times), np.repeat(home, times)
-            own = np.array([int.from_bytes(n[-4:], "little") for n in names], np.int64)[row] % cells.parts[cell]
-            home &= own == part
+            own = np.array([zlib.crc32(p) for p in packed], np.int64)[row] % times
+            other = np.concatenate([np.arange(t) for t in times])
+            row, cell, home, own, whole = (np.repeat(x, times) for x in (row, cell, home, own, times == 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(home), pa.array([names[i] for i in row], pa.binary()), pa.array([packed[i] for i in row], pa.binary())],
-                names=["cell", "part", "home", "digest", "packed"],
-            )
+                [pa.array(cell, pa.int32()), pa.array(np.minimum(own, other), pa.int32()), pa.array(np.maximum(own, other), pa.int32()), pa.array(own, pa.int32()), pa.array(whole), pa.array(home),
+                 pa.array([names[i] for i in row], pa.binary()), pa.array([packed[i] for i in row], pa.binary())],
+                names=["cell", "lo", "hi", "part", "whole", "home", "digest", "packed"],
+            )
 
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
-    return keyed.mapInArrow(copies, "cell int, part int, home boolean, digest binary, packed binary")
+    return keyed.mapInArrow(copies, "cell int, lo int, hi int, part int, whole boolean, home boolean, digest binary, packed binary")
 
 
-def per_cell(placed: DataFrame, search: Callable, schema: str, dim: int) -> DataFrame:
-    """``search(digests, units, positions of the home ones)`` -> a table, once for each task of a cell.
+@dataclass
+class Block:
+    """The vectors of one task, each once however many digests have it, in order of their smallest digest.
 
-    In a cell digests are distinct and in order. Cells and their parts are grouped by one shuffle.
+    ``names`` are the digests, those of a vector together and in order; vector i has ``names[first[i]:first[i + 1]]``. Whether
+    a vector is at home in the cell and which part it is of is the same for all its digests.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        frame = pd.DataFrame({"digest": table.column("digest").to_pylist(), "home": table.column("home").to_numpy(zero_copy_only=False)})
-        frame["at"] = np.arange(len(frame))
-        frame = frame.sort_values("digest", kind="stable").drop_duplicates("digest")
-        column = table.column("packed")
-        units = np.empty((len(frame), dim), np.float32)
-        at = frame["at"].to_numpy()
-        for s in range(0, len(at), 4096):
-            units[s : s + 4096] = unit(unpack(column.take(pa.array(at[s : s + 4096])).to_pylist(), dim))
-        names = frame["digest"].tolist()
-        return search(names, units, np.flatnonzero(frame["home"].to_numpy()))
-
-    return placed.groupBy("cell", "part").applyInArrow(run, schema)
+    names: list[bytes]
+    first: np.ndarray
+    units: np.ndarray
+    home: np.ndarray
+    part: np.ndarray
+    lo: int
+    hi: int
+    #: Whether the block is the cell.
+    whole: bool
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def sides(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions of home vectors, positions of all they are compared with) so that every two vectors meet once."""
+        if self.lo == self.hi:
+            yield np.flatnonzero(self.home), np.arange(len(self.units))
+            return
+        for a, b in ((self.lo, self.hi), (self.hi, self.lo)):
+            yield np.flatnonzero(self.home & (self.part == a)), np.flatnonzero(self.part == b)
+
+
+def block_of(table: pa.Table, dim: int) -> Block:
+    one = table.slice(0, 1).to_pylist()[0]
+    frame = pd.DataFrame({"digest": table.column("digest").to_pylist(), "packed": table.column("packed").to_pylist(), "home": table.column("home").to_numpy(zero_copy_only=False), "part": table.column("part").to_numpy()})
+    frame = frame.sort_values("digest", kind="stable").drop_duplicates("digest")
+    of, vectors = pd.factorize(frame["packed"])  # in order of their first, which is the smallest digest
+    order = np.argsort(of, kind="stable")
+    first = np.r_[0, np.cumsum(np.bincount(of, minlength=len(vectors)))]
+    units = np.empty((len(vectors), dim), np.float32)
+    for s in range(0, len(vectors), 4096):
+        units[s : s + 4096] = unit(unpack(list(vectors[s : s + 4096]), dim))
+    one_of = order[first[:-1]]
+    names = frame["digest"].to_numpy()[order].tolist()
+    return Block(names, first, units, frame["home"].to_numpy()[one_of], frame["part"].to_numpy()[one_of], one["lo"], one["hi"], one["whole"])
+
+
+def per_cell(placed: DataFrame, search: Callable[[Block], pa.Table], schema: str, dim: int) -> DataFrame:
+    """``search(block)`` -> a table, once for each cell or pair of a divided cell's parts, grouped by one shuffle."""
+    return placed.groupBy("cell", "lo", "hi").applyInArrow(lambda table: search(block_of(table, dim)), schema)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.llm import clusters, components, mixing, neighbours, packing, sentences, survivor, tokens, variety
-from shutterlake.llm.vectors import by_cell, fit_cells, pack, unpack, unit
+from shutterlake.llm.vectors import Block, by_cell, fit_cells, pack, unpack, unit
 
 DIM = 32
 PHOTOS = "hash string, dinov3 array<float>, cell int, digest string, rank int"
@@ -57,22 +57,27 @@ def test_nearest(library, cell_size):
 
 def test_large_cells_are_divided(library):
     photos, names, _ = library
-    cells = fit_cells(photos, "hash", "dinov3", DIM, 40, 0.3, divide=True)
+    cells = fit_cells(photos, "hash", "dinov3", DIM, 40, 0.3)
     cells.parts[:] = 3
-    rows = by_cell(photos, "hash", "dinov3", cells).select("cell", "part", "home", F.hex("digest").alias("d")).distinct().collect()
-    assert sorted(r.d.lower() for r in rows if r.home) == names
-    whole = {c: {r.d for r in rows if r.cell == c} for c in {r.cell for r in rows}}
-    assert all({r.d for r in rows if (r.cell, r.part) == k} == whole[k[0]] for k in {(r.cell, r.part) for r in rows})
+    rows = by_cell(photos, "hash", "dinov3", cells).select("cell", "lo", "hi", "part", "home", F.hex("digest").alias("d")).distinct().collect()
+    assert sorted({r.d.lower() for r in rows if r.home}) == names and not any(r.lo > r.hi or r.part not in (r.lo, r.hi) for r in rows)
+    # every two of a cell meet in just one block, which holds two parts
+    part = {(r.cell, r.d): r.part for r in rows}
+    held: dict = {}
+    for r in rows:
+        held.setdefault((r.cell, r.lo, r.hi), set()).add(r.d)
+    assert all(held[c, lo, hi] == {d for (c2, d), p in part.items() if c2 == c and p in (lo, hi)} for c, lo, hi in held)
+    assert all((r.cell, r.lo, r.hi) in held for r in rows) and len({(r.lo, r.hi) for r in rows}) == 6
 
 
 def test_few_usable_vectors_among_many_digests(spark):
     rng = np.random.default_rng(9)
     rows = [(name(i), None) for i in range(3000)] + [(name(4000 + i), rng.standard_normal(DIM).astype(np.float32).tolist()) for i in range(40)]
     df = spark.createDataFrame(rows, "hash string, dinov3 array<float>")
-    cells = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, divide=False, sample=40)
+    cells = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, sample=40)
     assert 3 <= len(cells.centres) <= 5
     # a bound that draws next to nothing must not empty the table
-    few = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, divide=False, sample=1)
+    few = fit_cells(df, "hash", "dinov3", DIM, 10, 0.3, sample=1)
     assert few is not None and by_cell(df, "hash", "dinov3", few).where("home").select("digest").distinct().count() == 40
 
 
@@ -105,10 +110,64 @@ def test_clusters_of_nothing(library):
 def test_average_linkage_leaves_chains_apart():
     # 0-1 and 2-3 are close, 1-2 barely: no other pair is linked, so the average over all four pairs stays below
     a, b = np.array([0, 1, 2]), np.array([1, 2, 3])
-    label, *_ = clusters.linkage_rounds(4, a, b, np.array([0.9, 0.6, 0.9]), np.zeros(3), np.ones(4, np.int64), np.zeros(4, np.int64), np.zeros(4, bool), 0.55)
+    g = np.full((4, 4), 0.1)
+    for x, y, c in ((0, 1, 0.9), (1, 2, 0.6), (2, 3, 0.9)):
+        g[x, y] = g[y, x] = c
+    np.fill_diagonal(g, 1)
+    w, v = np.linalg.eigh(g + 0 * g)
+    units = unit((v * np.sqrt(np.maximum(w, 0))).astype(np.float32)).astype(np.float64)
+    label, *_ = clusters.linkage_rounds(4, a, b, np.ones(4, np.int64), units, np.zeros(4, bool), 0.55)
     assert label.tolist() == [0, 0, 2, 2]
 
 
+def tied(n, cosine=0.6):
+    """Units of which every two have the same similarity."""
+    return unit(np.hstack([np.eye(n) * np.sqrt(1 - cosine), np.full((n, 1), np.sqrt(cosine))]).astype(np.float32))
+
+
+def test_rounds_of_ties_grow_with_the_logarithm():
+    rounds = {}
+    for n in (100, 400, 1600):
+        a = np.arange(n)
+        label, *_, rounds[n] = clusters.linkage_rounds(n, np.r_[a, a], np.r_[(a + 1) % n, (a + 2) % n], np.ones(n, np.int64), tied(n).astype(np.float64), np.zeros(n, bool), 0.55)
+        assert (label == 0).all()
+    assert rounds[1600] <= 30 and rounds[1600] - rounds[100] <= 14
+
+
+@pytest.mark.parametrize("cell_size,finish", [(40, 100)])
+def test_ties_across_cells(spark, cell_size, finish):
+    units = tied(300)
+    df = spark.createDataFrame([(name(i), u.tolist()) for i, u in enumerate(units)], "hash string, dinov3 array<float>")
+    found = clusters.cluster(df, 0.55, k=4, dim=301, cell_size=cell_size, margin=0.9, finish=finish)
+    assert {r.cluster.hex() for r in found.select("cluster").collect()} == {min(name(i) for i in range(300))}
+    assert clusters.closed_clusters(found).count() == 299
+
+
+def test_ten_thousand_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    one, others = rng.standard_normal(DIM).astype(np.float32).tolist(), rng.standard_normal((50, DIM)).astype(np.float32)
+    df = spark.createDataFrame([(name(i), one) for i in range(10_000)] + [(name(20_000 + i), v.tolist()) for i, v in enumerate(others)], "hash string, dinov3 array<float>")
+    found = clusters.cluster(df, 0.9, dim=DIM, cell_size=1000, margin=0.1)
+    assert clusters.closed_clusters(found).count() == 9_999
+    near = {r.digest.hex(): [x.hex() for x in r.neighbours] for r in neighbours.nearest(df, 3, dim=DIM, cell_size=1000).collect()}
+    low = sorted(name(i) for i in range(10_000))
+    assert near[low[0]] == low[1:4] and near[low[1]] == [low[0], *low[2:4]] and near[low[77]] == low[:3]
+
+
+def test_codes_leave_little_to_rerank():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 256))
+    units = unit((np.repeat(centres, 50, axis=0) + 0.4 * rng.standard_normal((2000, 256))).astype(np.float32))
+    block = Block([bytes([i // 256, i % 256]) for i in range(2000)], np.arange(2001), units, np.ones(2000, bool), np.zeros(2000, int), 0, 0, True)
+    counted: list = []
+    found = list(neighbours.search_block(block, 10, neighbours.rotation(256), neighbours.EPSILON, counted))
+    got = set(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
+    s = units @ units.T
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i in range(2000) for j in np.argpartition(-s[i], 10)[:10].tolist()}
+    assert len(got & want) >= 0.95 * len(want) and sum(c[0] for c in counted) < 0.03 * sum(c[1] for c in counted)
+
+
 def bridged():
     """Two dense series of 30, 0.3 between them, one pair at 0.56: (names, units)."""
     g = np.full((60, 60), 0.3)
@@ -121,7 +180,7 @@ def bridged():
     return [f"{i:064x}" for i in range(60)], unit((v * np.sqrt(w)).astype(np.float32))
 
 
-@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (20, 1000), (20, 0)])
+@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (20, 1000)])
 def test_a_weak_bridge_does_not_join_dense_series(spark, cell_size, finish):
     names, units = bridged()
     df = spark.createDataFrame([(n, u.tolist()) for n, u in zip(names, units)], "hash string, dinov3 array<float>")
@@ -130,7 +189,7 @@ def test_a_weak_bridge_does_not_join_dense_series(spark, cell_size, finish):
     assert [label[n] for n in names] == [min(names[:30])] * 30 + [min(names[30:])] * 30
 
 
-@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (60, 1000), (60, 0)])
+@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (60, 1000), (60, 4)])
 def test_clusters_are_those_of_average_linkage(library, cell_size, finish):
     photos, names, units = library
     s = units.astype(np.float64) @ units.T.astype(np.float64)
