@@ -1,13 +1,13 @@
 """Consolidating pairwise matches into groups.
 
 The giant component, if there is one, is peeled off: breadth-first joins from the vertex of highest degree reach all of
-it in as many rounds as it is deep, and an anti-join takes it away. What remains are small components, which minimum
-propagation labels; each round also replaces a vertex's label by its label's label, so that chains take logarithmically
-many rounds.
+it, a few hops to a job, and an anti-join takes it away. What remains are small components, which minimum propagation
+labels; each round also replaces a vertex's label by its label's label, so that chains take logarithmically many rounds.
 
-Matches form long chains, so that the giant component can be hundreds of links deep. A few contractions therefore come
-first: every vertex moves on to the end of a short walk along smallest neighbours, and links move with their ends. That
-keeps what hangs together, as well as its smallest vertex, and shortens every way by a large factor.
+Matches form long chains, so that the giant component can be more than a hundred links deep. One contraction therefore
+comes first: every vertex moves on to the end of a short walk along smallest neighbours, and links move with their ends.
+That keeps what hangs together, as well as its smallest vertex, and shortens every way to a fraction. Where frontiers
+still have not come to an end after a number of jobs, the links are contracted again.
 """
 
 from __future__ import annotations
@@ -32,30 +32,38 @@ def link_rows(matches: DataFrame, most: float | None = 0.05, a: str = "hash_a",
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (x.isNotNull() & y.isNotNull()).alias("ok")).where("ok and a <> b").select("a", "b").distinct()
 
 
-def _peel(both: DataFrame) -> DataFrame | None:
-    """The vertices (v) of the component of the vertex with the most links; None without links."""
+#: Hops of the frontier in one job, and jobs after which the links are contracted again.
+HOPS, JOBS = 4, 12
+
+
+def _peel(both: DataFrame, jobs: int) -> tuple[DataFrame | None, bool]:
+    """(vertices v of the component of the vertex with the most links, whether that is all of it); None without links."""
     top = both.groupBy("a").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "a")).alias("t")).first()["t"]
     if top is None:
-        return None
+        return None, True
     layers = [cut(both.where(F.col("a") == F.lit(bytes(top["a"]))).select(F.col("a").alias("v")).limit(1))]
-    while True:
-        # a semi-join first, so that a hub in the frontier costs its links once and nothing is multiplied
-        step = both.join(layers[-1].withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        # what a layer's links lead to lies in the layer before, in itself or in the next one
+    for _ in range(jobs):
+        near, hops = layers[-1], []
+        for _ in range(HOPS):
+            # a semi-join first, so that a hub in the frontier costs its links once and nothing is multiplied
+            near = both.join(near.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+            hops.append(near)
+        step = reduce(DataFrame.unionByName, hops).distinct()
+        # what a few hops lead to lies in the layer before, in itself or in the next one
         for seen in layers[-2:]:
             step = step.join(seen, "v", "left_anti")
         step = cut(step)
         if step.isEmpty():
-            return reduce(DataFrame.unionByName, layers)
+            return reduce(DataFrame.unionByName, layers), True
         layers.append(step)
+    return None, False
 
 
 def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(moves (v, to), links (a, b) between where their ends moved to): four steps along smallest neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+    hook = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to")))
     for _ in range(2):
-        hook = cut(hook)
         hook = hook.join(hook.select(F.col("v").alias("to"), F.col("to").alias("up")), "to").select("v", F.col("up").alias("to"))
     moves = cut(hook)
     for end in "ab":
@@ -64,10 +72,12 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moves, cut(moved)
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(v, root) of a graph of little depth: the giant component by breadth-first joins, the rest by minimum propagation."""
+def _labels(links: DataFrame, jobs: int) -> DataFrame | None:
+    """(v, root): the giant component by breadth-first joins, the rest by minimum propagation; None if the first takes more than ``jobs`` jobs."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    giant = _peel(both)
+    giant, whole = _peel(both, jobs)
+    if not whole:
+        return None
     if giant is None:
         return links.select(F.col("a").alias("v"), F.col("a").alias("root")).limit(0)
     giant = cut(giant)
@@ -87,17 +97,17 @@ def _labels(links: DataFrame) -> DataFrame:
             return done.unionByName(label)
 
 
-def groups(links: DataFrame, contractions: int = 4) -> DataFrame:
+def groups(links: DataFrame, jobs: int = JOBS) -> DataFrame:
     """(v, root) for every vertex of ``links`` (a, b): ``root`` is the smallest vertex linked directly or indirectly.
 
     Repeated and reversed links are allowed; without links the result is empty.
     """
     edges = cut(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    walks = []
-    for _ in range(contractions):
+    walks, label = [], None
+    while label is None:
         moves, edges = _contract(edges)
         walks.append(moves)
-    label = _labels(edges)
+        label = _labels(edges, jobs)
     for moves in reversed(walks):
         # a vertex without a label of its own is all that is left of its group
         found = moves.join(label.select(F.col("v").alias("to"), "root"), "to", "left")

@@ -124,7 +124,7 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
     """Cells of about ``cell_size`` vectors each, fitted on a sample of digests with a usable vector, drawn by hash; None if nothing is usable.
 
     The sample grows with the number of cells from ``SAMPLE_LEAST`` to ``SAMPLE_BOUND``; ``sample`` sets it. Cells that the
-    sample shows to hold, with their copies, more than twice as many are divided into parts.
+    sample shows to hold, with copies, more than four times as many are divided into parts of twice as many.
     """
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
 
@@ -170,8 +170,8 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
             break
         part = min(1.0, 8 * part)  # an empty draw is not an empty table
     centres = np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]])
-    parts = np.ceil(fitted["held"].to_numpy() / cell_size - 1).astype(np.int32)  # 1 up to twice the size
-    return Cells(centres, margin, dim, np.maximum(1, parts))
+    held = fitted["held"].to_numpy()
+    return Cells(centres, margin, dim, np.where(held > 4 * cell_size, np.ceil(held / (2 * cell_size)), 1).astype(np.int32))
 
 
 def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) -> DataFrame:

@@ -257,6 +257,15 @@ def test_components(spark):
     assert components.groups(components.link_rows(df.limit(0))).count() == 0
 
 
+def test_a_long_chain_is_contracted_again(spark):
+    n = 3000
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    links = spark.createDataFrame([(bytes.fromhex(name(a)), bytes.fromhex(name(b))) for a, b in zip(order, order[1:])], "a binary, b binary")
+    rows = components.groups(links, jobs=2).collect()
+    assert len(rows) == n and {r.root.hex() for r in rows} == {min(name(i) for i in range(n))}
+
+
 def test_consensus_by_vote():
     values = ["Kestrel K-450 zoom", "Kestrel K-45O zoom", "Kestrel K-450", "Kestrel K-460 zoom", "Ombra One"]
     assert survivor.consensus(values, [1] * 5) == 0
