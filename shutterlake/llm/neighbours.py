@@ -70,7 +70,7 @@ class Codes:
 
     def __init__(self, units: np.ndarray, turn: np.ndarray, epsilon: float):
         n, dim = units.shape
-        fine = nearest_centre(units, spherical_kmeans(units, max(1, n // FINE), rounds=4))
+        fine = nearest_centre(units, spherical_kmeans(units, max(1, n // FINE), rounds=2))
         self.at = np.argsort(fine, kind="stable")
         self.edges = np.r_[0, np.flatnonzero(np.diff(fine[self.at])) + 1, n]
         self.dim, self.turn, self.epsilon, self.means = dim, turn, epsilon, []
@@ -139,10 +139,14 @@ class Codes:
         return low, high
 
 
-def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, -inf where there are fewer."""
+def kth_largest(values: np.ndarray, k: int, width: int = 16) -> np.ndarray:
+    """A value per row that at least k entries reach and hardly more: the k-th largest of the maxima of strided chunks; -inf where there are fewer."""
     m, n = values.shape
-    return np.full(m, -np.inf, np.float32) if n < k else np.partition(values, n - k, axis=1)[:, n - k]
+    if n < k:
+        return np.full(m, -np.inf, np.float32)
+    if (chunks := n // width) >= 4 * k:  # neighbours in order are often alike, so that they are spread over the chunks
+        values = values[:, : chunks * width].reshape(m, width, chunks).max(axis=1)
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
 
 
 def dots(units: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -173,6 +177,7 @@ def search_block(block: Block, k: int, turn: np.ndarray, epsilon: float, counted
             continue
         codes = Codes(units[base], turn, epsilon)
         base = base[codes.at]  # positions in the block, in the order of the fine cells
+        ordered = units[base]
         where = np.full(len(units), -1)
         where[base] = np.arange(len(base))
         for s in range(0, len(home), QUERY_BLOCK):
@@ -195,10 +200,22 @@ def search_block(block: Block, k: int, turn: np.ndarray, epsilon: float, counted
             low[own, where[q][own]] = high[own, where[q][own]] = -np.inf
             # the best lower bounds, computed exactly, give a threshold that lies far above any lower bound
             closer, n2 = threshold(low)
-            i, j = np.nonzero(high >= np.maximum(reach, closer)[:, None])
+            chosen = high >= np.maximum(reach, closer)[:, None]
             if counted is not None:
-                counted.append((len(i), high.size, n1 + n2))
-            yield best_of(q[i], base[j], dots(units, q[i], base[j]), k)
+                counted.append((int(np.count_nonzero(chosen)), high.size, n1 + n2))
+            i, j, cosine = reranked(units[q], ordered, codes.edges, chosen, k)
+            yield best_of(q[i], base[j], cosine, k)
+
+
+def reranked(queries: np.ndarray, base: np.ndarray, edges: np.ndarray, chosen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, inner product) of the chosen pairs that may be among the k best: computed exactly, in the chosen rows of each fine cell."""
+    exact = np.full(chosen.shape, -np.inf, np.float32)
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        rows = np.flatnonzero(chosen[:, lo:hi].any(axis=1))
+        if len(rows):
+            exact[rows, lo:hi] = np.where(chosen[rows, lo:hi], queries[rows] @ base[lo:hi].T, -np.inf)
+    i, j = np.nonzero(exact >= np.maximum(kth_largest(exact, k), -2)[:, None])
+    return i, j, exact[i, j]
 
 
 def expanded(block: Block, i: np.ndarray, j: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
