@@ -43,7 +43,7 @@ def harmony(palette: Column) -> Column:
     most = F.array_max(apart)
     return (
         F.when(palette.isNull(), None).when(F.size(hues) < 2, "monochromatic").when(most < 40, "analogous").when((most > 150) & (most < 215), "complementary")
-        .when((most >= 100) & (most <= 150), "triadic").otherwise("mixed")
+        .when((most > 100) & (most <= 150), "triadic").otherwise("mixed")
     )
 
 
@@ -87,11 +87,21 @@ def quality_factor(table: Column, standard: list[int]) -> Column:
 
 
 def pose(ys: Column) -> Column:
-    """Pose from the heights of 17 key points: legs against torso."""
+    """Pose from the heights of 17 key points: legs against torso; null without shoulders or hips."""
     at = lambda i: F.get(ys, F.lit(i))
     shoulder, hip, ankle = (at(5) + at(6)) / 2, (at(11) + at(12)) / 2, (at(15) + at(16)) / 2
-    ratio = F.try_divide(ankle - hip, hip - shoulder)
-    return F.when(F.size(ys) >= 17, F.when(ratio > 1.2, "standing").when(ratio > 0.5, "sitting").when(ratio > 0.1, "crouching").when(ratio.isNotNull(), "lying"))
+    ratio = F.abs(ankle - hip) / (F.abs(hip - shoulder) + F.lit(1e-6))
+    named = F.when(ratio > 1.2, "standing").when(ratio > 0.5, "sitting").when(ratio > 0.1, "crouching").when(ratio.isNotNull(), "lying")
+    return F.when((F.size(ys) >= 17) & (shoulder != 0) & (hip != 0), named)
+
+
+def residual(table: Column, standard: list[int]) -> Column:
+    """Mean difference of a quantisation table from the ``standard`` one scaled to fit it best; beyond 3 it is of another make."""
+    scales = F.array_sort(F.zip_with(table, F.array(*[F.lit(s) for s in standard]), lambda t, s: (t * 100 - 50) / s))
+    n = F.size(scales)
+    scale = (F.get(scales, F.floor((n - 1) / 2).cast("int")) + F.get(scales, F.floor(n / 2).cast("int"))) / 2
+    away = F.zip_with(table, F.array(*[F.lit(float(s)) for s in standard]), lambda t, s: F.abs(t - F.bround(F.greatest(F.lit(1.0), F.least(F.lit(255.0), (s * scale + 50) / 100)))))
+    return F.when(n == len(standard), F.aggregate(away, F.lit(0.0), lambda a, x: a + x) / n)
 
 
 def signed_degrees(dms: Column, ref: Column) -> Column:
@@ -113,9 +123,8 @@ def merged_palettes(swatches: DataFrame, group: str, near: float = 30.0, keep: i
         centres, weights = np.empty((0, 3)), []
         for c, w in zip(pdf[["r", "g", "b"]].to_numpy(float), pdf["weight"]):
             d = np.sqrt(((centres - c) ** 2).sum(axis=1)) if len(centres) else np.empty(0)
-            hit = np.flatnonzero(d < near)
-            if len(hit):
-                weights[hit[0]] += w
+            if len(d) and d.min() < near:
+                weights[int(d.argmin())] += w
             else:
                 centres = np.vstack([centres, c])
                 weights.append(w)

@@ -55,25 +55,34 @@ def ramp(x: str, lo: float, hi: float) -> str:
     return case((f"{x} IS NULL OR {x} <= {lo}", "0.0"), other=f"round(least(1.0, ({x} - {lo}) / {hi - lo}), 2)")
 
 
-def device_class(make_model: str) -> str:
-    """Phones before mirrorless before reflex cameras, by ordered substrings of lower-cased make and model."""
-    has = lambda *words: " OR ".join(f"{make_model} LIKE '%{w}%'" for w in words)
-    return case(
-        (f"{make_model} IS NULL OR trim({make_model}) = ''", "'unknown'"),
-        (has("iphone", "pixel", "galaxy", "huawei", "phone"), "'phone'"),
-        (has("ilce", "eos r", "z 6", "z 7", "x-t", "gfx", "one", "v9"), "'mirrorless'"),
-        (has("eos", "d850", "d750", "k-", "pentax"), "'dslr'"),
-        other="'other'",
-    )
+#: Words by which a camera's make and model tell its class, tried in this order.
+PHONES = ("apple", "samsung", "google", "pixel", "iphone", "huawei", "xiaomi", "oneplus", "oppo", "vivo", "realme")
+MIRRORLESS = (
+    "ilce", "α", "a7", "a6", "zfc", "z50", "z6", "z7", "z8", "z9", "xt", "x-t", "x-s", "gfx", "om-1", "om-5", "e-m", "sl2", "sl3", "rp",
+    "r5", "r6", "r7", "r8", "r10", "r50", "r100", "r3", "r1", "s5", "s9", "gh6", "gh7", "g9",
+)
+REFLEX = (
+    "eos", "nikon d", "nikon z", "d3", "d4", "d5", "d6", "d7", "d8", "d500", "d750", "d800", "d810", "d850", "7d", "5d", "6d", "rebel", "k-", "pentax",
+)
+
+
+def device_class(make: str, model: str) -> str:
+    """Phone, mirrorless, dslr, other or unknown, by the first list of which some word occurs in the lower-cased make and model."""
+    text = f"lower(concat(coalesce({make}, ''), ' ', coalesce({model}, '')))"
+    has = lambda words: " OR ".join(f"contains({text}, '{w}')" for w in words)
+    empty = lambda x: f"coalesce({x}, '') = ''"
+    return case((f"{empty(make)} AND {empty(model)}", "'unknown'"), (has(PHONES), "'phone'"), (has(MIRRORLESS), "'mirrorless'"), (has(REFLEX), "'dslr'"), (f"NOT {empty(make)}", "'other'"), other="'unknown'")
 
 
 def is_zoom(lens: str) -> str:
-    """A lens name with a dash between numbers is a zoom."""
-    return f"({lens} LIKE '%-%' OR {lens} LIKE '%–%')"
+    """A lens name with a dash and a digit is a zoom."""
+    return f"(({lens} LIKE '%-%' OR {lens} LIKE '%–%') AND translate({lens}, '0123456789', '') <> {lens})"
 
 
 def hue_band(h: str) -> str:
-    return case((f"{h} IS NULL", "NULL"), (f"{h} < 20 OR {h} >= 340", "'red'"), (f"{h} < 45", "'orange'"), (f"{h} < 70", "'yellow'"), (f"{h} < 160", "'green'"), (f"{h} < 200", "'aqua'"), (f"{h} < 260", "'blue'"), (f"{h} < 300", "'purple'"), other="'magenta'")
+    """Name of a hue in degrees, whatever turn it is in."""
+    h = f"({h} - 360 * floor({h} / 360))"
+    return case((f"{h} IS NULL", "NULL"), (f"{h} < 20 OR {h} >= 340", "'red'"), (f"{h} < 45", "'orange'"), (f"{h} < 70", "'yellow'"), (f"{h} < 150", "'green'"), (f"{h} < 200", "'cyan/teal'"), (f"{h} < 260", "'blue'"), (f"{h} < 290", "'purple'"), other="'magenta'")
 
 
 def bars(x: str, edges: list[float]) -> str:

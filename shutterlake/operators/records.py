@@ -10,6 +10,8 @@ COLUMNS = {
     "score": "CASE WHEN aesthetic_score BETWEEN 0 AND 100 THEN aesthetic_score END", "iq": "CASE WHEN iq_score BETWEEN 0 AND 100 THEN iq_score END",
     "labels": "scene.scene_types", "focal": "exif.focal_length_mm", "focal_cat": "exif.focal_category", "aperture": "exif.aperture_f", "dof": "exif.dof_category",
     "iso": "exif.iso", "light": "exif.light_category", "hour": "exif.hour", "ym": "exif.year_month", "make": "exif.camera_make", "model": "exif.camera_model", "lens": "exif.lens_model",
+    # the tables have no exposure time: a stand-in from what they have, in seconds
+    "shutter": "CASE WHEN exif.iso > 0 AND exif.focal_length_mm > 0 THEN CAST(exif.iso AS double) / (exif.focal_length_mm * 400) END",
     "sat": "color.avg_saturation", "bright": "color.avg_brightness", "contrast": "color.contrast", "warm": "color.warm_ratio", "cool": "color.cool_ratio",
     "thirds": "composition.thirds_score", "symmetry": "composition.symmetry_score", "space": "composition.negative_space", "isolation": "composition.subject_isolation",
     "clutter": "composition.foreground_clutter", "tilt": "composition.horizon_tilt_deg", "highlights": "composition.highlight_clipping", "shadows": "composition.shadow_clipping",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Defaults of the thresholds.
 DEFAULTS = {
-    "score_floor": 35.0, "score_high": 60.0, "iq_floor": 40.0, "isolation_floor": 0.8, "thirds_min": 0.3, "space_min": 0.2,
-    "clutter_max": 0.6, "off_max": 0.5, "tilt_max": 3.0, "clip_highlights": 0.02, "clip_shadows": 0.05,
+    "thirds_min": 0.72, "tilt_max": 1.5, "clutter_max": 0.22, "space_min": 0.25, "isolation_floor": 0.85, "score_floor": 35.0,
+    "score_high": 65.0, "iq_floor": 40.0, "clip_highlights": 0.03, "clip_shadows": 0.05, "off_max": 0.25,
 }
 #: Threshold -> (column, percentile, digits). The other thresholds stay as they are.
 CALIBRATED = {
@@ -23,7 +23,7 @@ RULES = {
     "merged_subject": ("isolation < isolation_floor", "1 - least(isolation, 2.0) / 2"),
     "busy": ("space < space_min", "space_min - space"),
     "low_score": ("score < score_floor", "(score_floor - score) / score_floor"),
-    "deep_portrait": ("dof = 'deep' AND persons = 1", "1.0"),
+    "deep_portrait": ("dof = 'deep' AND array_contains(labels, 'people and portraits')", "1.0"),
     "dark_and_weak": ("light = 'low_light' AND score < score_floor + 5", "1.0"),
     "blown_highlights": ("highlights > clip_highlights", "highlights"),
     "blocked_shadows": ("shadows > clip_shadows", "shadows"),
@@ -61,5 +61,5 @@ def flags(severe: DataFrame, keep: list[str]) -> DataFrame:
 
 def rollup(flagged: DataFrame, total: DataFrame) -> DataFrame:
     """(rule, n, pct, mean_severity) of fired rules; ``total`` is one row with ``total``."""
-    counts = flagged.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("severity"), 4).alias("mean_severity"))
+    counts = flagged.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg("severity") + 1e-9, 3).alias("mean_severity"))
     return counts.crossJoin(F.broadcast(total)).selectExpr("rule", "n", "round(100.0 * n / total, 1) AS pct", "mean_severity")
