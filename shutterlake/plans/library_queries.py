@@ -103,7 +103,6 @@ simple("score_iq_corr", "r", {}, {"pairs": "count(CASE WHEN score IS NOT NULL AN
 simple("label_distribution", "d", {"label": "label"}, N)
 simple("score_by_label", "d", {"label": "label"}, {"mean": "round(avg(score), 4)", "std": "round(stddev_pop(score), 4)", "n": "count(score)"})
 simple("metrics_by_label", "d", {"label": "label"}, {"n": "count(*)"} | mean("thirds", "symmetry", "space", "isolation", "sat", "bright", "warm", "iq", "area") | {"n_composed": "greatest(count(thirds), count(symmetry), count(space))", "std_sat": "round(stddev_pop(sat), 4)", "n_saliency": "count(cx)"})
-simple("pick_rate_by_label", "d", {"label": "label"}, {"rated": "count(rating)", "pick_pct": "round(100.0 * avg(CASE WHEN rating IS NULL THEN NULL WHEN rating >= 4 THEN 1.0 ELSE 0.0 END), 2)"})
 simple("iq_by_focal", "r", {"focal_cat": "focal_cat"}, {"n": "count(iq)", "mean": "round(avg(iq), 3)"}, having="n >= 5")
 _PHONE = "apple samsung google pixel iphone huawei xiaomi oneplus oppo vivo realme".split()
 _MIRRORLESS = "ilce α a7 a6 zfc z50 z6 z7 z8 z9 xt x-t x-s gfx om-1 om-5 e-m sl2 sl3 rp r5 r6 r7 r8 r10 r50 r100 r3 r1 s5 s9 gh6 gh7 g9".split()
