@@ -22,6 +22,8 @@ from shutterlake.functions.digests import digest
 
 #: Least and most vectors that the fit of the cells draws, in one executor task; in between it draws ``PER_CELL`` for each cell.
 SAMPLE_LEAST, SAMPLE_BOUND, PER_CELL = 8_192, 65_536, 16
+#: About how many vectors a task may hold at once: 100 MB of 768 values each.
+BLOCK = 32_768
 
 
 def pack(v: np.ndarray) -> bytes:
@@ -124,7 +126,7 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
     """Cells of about ``cell_size`` vectors each, fitted on a sample of digests with a usable vector, drawn by hash; None if nothing is usable.
 
     The sample grows with the number of cells from ``SAMPLE_LEAST`` to ``SAMPLE_BOUND``; ``sample`` sets it. Cells that the
-    sample shows to hold, with copies, more than four times as many are divided into parts of twice as many.
+    sample shows to hold, with copies, more than ``BLOCK`` are divided into parts of half as many.
     """
     keyed = photos.select(digest(hash_col).alias("d"), F.col(vector_col).alias("v")).where("d is not null and v is not null")
 
@@ -171,7 +173,7 @@ def fit_cells(photos: DataFrame, hash_col: str, vector_col: str, dim: int, cell_
         part = min(1.0, 8 * part)  # an empty draw is not an empty table
     centres = np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]])
     held = fitted["held"].to_numpy()
-    return Cells(centres, margin, dim, np.where(held > 4 * cell_size, np.ceil(held / (2 * cell_size)), 1).astype(np.int32))
+    return Cells(centres, margin, dim, np.where(held > BLOCK, np.ceil(2 * held / BLOCK), 1).astype(np.int32))
 
 
 def by_cell(photos: DataFrame, hash_col: str, vector_col: str, cells: Cells) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import clusters, components, mixing, neighbours, packing, sentences, survivor, tokens, variety
+from shutterlake.llm import clusters, components, mixing, neighbours, packing, sentences, survivor, tokens, variety, vectors
 from shutterlake.llm.vectors import Block, by_cell, fit_cells, pack, unpack, unit
 
 DIM = 32
@@ -18,6 +18,12 @@ def name(i):
     return f"{i * 7919 % 100003:064x}"
 
 
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    """Cells of more than 160 vectors are divided, so that small inputs have some."""
+    monkeypatch.setattr(vectors, "BLOCK", 160)
+
+
 @pytest.fixture(scope="module")
 def library(spark):
     """Groups of close vectors, single ones, repeats of a hot digest in several spellings, and unusable rows."""
