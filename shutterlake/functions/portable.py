@@ -46,6 +46,10 @@ def shutter_category(x: str) -> str:
     return case((f"{x} IS NULL", "NULL"), (f"{x} <= 1.0 / 500", "'freeze'"), (f"{x} <= 1.0 / 60", "'hand'"), (f"{x} <= 1.0 / 15", "'slow'"), other="'bulb'")
 
 
+def warmth(warm: str, cool: str) -> str:
+    return case((f"{warm} > {cool}", "'warm'"), (f"{cool} > {warm}", "'cool'"), (f"{warm} = {cool}", "'neutral'"))
+
+
 def framing_tier(x: str) -> str:
     return case((f"{x} IS NULL", "NULL"), (f"{x} < 0.25", "'tight'"), (f"{x} > 0.55", "'wide'"), other="'medium'")
 
