@@ -2,7 +2,7 @@
 
 The lengths' histogram is all the planner sees. It lists shallow combinations - up to three lengths that together fill
 the capacity up to a small window - and solves for how often to repeat each so that the histogram is used up as nearly
-as possible, without negative counts. The counts are rounded down to whole containers; whatever lengths are left over
+as possible, without negative counts. The counts are rounded to whole containers, as far as there are items left; whatever lengths are left over
 are packed greedily, longest first with the longest that still fit, whole containers of the same make-up at a time.
 A plan is then a short list of make-ups with repeat counts, and every item finds its container from its place among the
 items of its length.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.session import materialise
 
-SALTS = 64
+#: Least number of groups among which the items of a length are counted, and items for each of which there is one more.
+SALTS, PER_SALT = 64, 50_000
 #: Most combinations that take part in the solution; more only slow it down, as the rest is packed greedily anyway.
 COMBINATIONS = 60_000
 
@@ -60,7 +61,6 @@ def repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.
         padded = np.r_[r, 0.0]
         return padded[combos].sum(axis=1)
 
-    # longer items are harder to place later, so they weigh more
     ones = forward(np.ones(len(combos)))
     step = 1 / max(1.0, float((back(ones)).max()))
     x = np.zeros(len(combos))
@@ -141,7 +141,8 @@ def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
     items = sized.where("doc_id is not null and tokens is not null").select("doc_id", F.col("tokens").cast("bigint").alias("size"))
     # the limits are the handful of capacities asked for
     pieces = items.crossJoin(caps).select("pack_id", "doc_id", "cap", F.posexplode(F.expr("transform(sequence(0, greatest(0, int((size - 1) div cap))), i -> least(cap, size - i * cap))")).alias("piece", "tokens"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salts = max(SALTS, sized.count() // PER_SALT)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counted = pieces.groupBy("pack_id", "cap", "tokens", "salt").agg(F.count("*").alias("n"))
     ahead, _ = materialise(counted.withColumn("ahead", F.expr("coalesce(sum(n) over (partition by pack_id, tokens order by salt rows between unbounded preceding and 1 preceding), 0)")), "lengths")
     # bounded by the capacities: at most one row for each length up to them

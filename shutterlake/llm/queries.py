@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.photo_survivors(table(spark, folder, "photos"))
 
 
+def p3_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    return survivor.photo_consensus(table(spark, folder, "photos"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.closed_clusters(clusters.cluster(table(spark, folder, "photos"), typicality=False))
 
@@ -69,5 +73,11 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_neighbours, p3_found, p4_found, p4_clusters, p6_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_neighbours, p3_found, p3_consensus, p4_found, p4_clusters, p6_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found)}
+_DIGEST = lambda c: f"CASE WHEN length(regexp_replace(lower({c}), '^\\s*sha-?256\\s*[:=]?|[^0-9a-f]', '', 'g')) = 64 THEN regexp_replace(lower({c}), '^\\s*sha-?256\\s*[:=]?|[^0-9a-f]', '', 'g') END"
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH r AS (SELECT {_DIGEST('hash')} AS hash, * EXCLUDE (hash), count(*) OVER (PARTITION BY {_DIGEST('hash')}) AS n FROM photos), u AS (SELECT hash, 'aesthetic_score' AS field, record_id, analysed_at, CASE lower(trim(aesthetic_score_source)) WHEN 'siglip' THEN 2 WHEN 'regressor' THEN 1 ELSE 0 END AS trust, aesthetic_score AS v FROM r WHERE n > 1
+        UNION ALL SELECT hash, 'iq_score', record_id, analysed_at, 0, iq_score FROM r WHERE n > 1) SELECT hash, field, record_id FROM (SELECT *, row_number() OVER (PARTITION BY hash, field ORDER BY trust DESC, analysed_at DESC NULLS LAST, record_id DESC) AS i FROM u WHERE hash IS NOT NULL AND v BETWEEN 0 AND 100) WHERE i = 1""",
+    "p6_found": f"""WITH RECURSIVE e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT {_DIGEST('hash_a')} AS a, {_DIGEST('hash_b')} AS b FROM match_edges WHERE cos_dist <= 0.05 AND NOT isnan(cos_dist)) WHERE a <> b), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        c AS (SELECT DISTINCT a AS hash, a AS root FROM w UNION SELECT w.b, c.root FROM c JOIN w ON w.a = c.hash WHERE c.root < w.b), g AS (SELECT hash, min(root) AS root FROM c GROUP BY 1) SELECT root AS root_hash, hash FROM g WHERE root <> hash""",
+}
