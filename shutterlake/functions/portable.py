@@ -43,7 +43,7 @@ def light_category(x: str) -> str:
 
 
 def shutter_category(x: str) -> str:
-    return case((f"{x} IS NULL", "NULL"), (f"{x} <= 1.0 / 500", "'freeze'"), (f"{x} <= 1.0 / 60", "'hand'"), (f"{x} <= 1.0 / 15", "'slow'"), other="'bulb'")
+    return case((f"{x} IS NULL", "NULL"), (f"{x} <= CAST(1 AS double) / 500", "'freeze'"), (f"{x} <= CAST(1 AS double) / 60", "'hand'"), (f"{x} <= CAST(1 AS double) / 15", "'slow'"), other="'bulb'")
 
 
 def warmth(warm: str, cool: str) -> str:

@@ -122,6 +122,17 @@ class GapTree:
         merged = reduced.where("not final").drop("final").groupBy("entity").applyInPandas(_merge, NODE)
         return reduced.where("final").drop("final").unionByName(merged.where(wanted))
 
+    def built(self) -> DataFrame:
+        """All nodes, written once: any number of gap settings are then filters on them."""
+        return cut(self.nodes())
+
+    @staticmethod
+    def runs(nodes: DataFrame, gaps_us: list[int]) -> DataFrame:
+        """(gap_setting_us, entity, start_us, end_us, n) for several settings in one pass over ``nodes``."""
+        settings = ", ".join(f"{int(g)}L" for g in gaps_us)
+        each = nodes.selectExpr("*", f"explode(filter(array({settings}), g -> gap_us <= g and (parent_gap_us is null or parent_gap_us > g))) AS gap_setting_us")
+        return each.select("gap_setting_us", "entity", "start_us", "end_us", "n")
+
     def sessions(self, gap_us: int) -> DataFrame:
         """(entity, start_us, end_us, n): the runs of events with no pause longer than ``gap_us``."""
         top = f"gap_us <= {int(gap_us)} and (parent_gap_us is null or parent_gap_us > {int(gap_us)})"

@@ -36,5 +36,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _sessions(spark, folder, 4)
 
 
-QUERIES = {"p5_found": p5_found, "p5_zones": p5_zones, "p5_estimated": p5_estimated, "p7_found": p7_found}
+def p7_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions under pauses of half an hour, four hours and a day, from one tree."""
+    stamps = read_stamps(table(spark, folder, "asset_feed"), table(spark, folder, "cameras"))
+    runs = GapTree.runs(GapTree(photo_times(stamps)).built(), [HOUR_US // 2, 4 * HOUR_US, 24 * HOUR_US])
+    return runs.groupBy((F.col("gap_setting_us") / HOUR_US).alias("gap_hours")).agg(F.count("*").alias("sessions"), F.sum("n").alias("photos"), F.max("n").alias("largest"), F.max(F.col("end_us") - F.col("start_us")).alias("longest_us"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_zones": p5_zones, "p5_estimated": p5_estimated, "p7_found": p7_found, "p7_gaps": p7_gaps}
 ORACLES: dict[str, str] = {}
