@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.session import materialise
-
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the first in ``order``; rows with a null key are left out."""
@@ -64,12 +62,17 @@ def overlay(fresh: DataFrame, cached: DataFrame, key: str, columns: list[str]) -
     return joined.select(*[fresh[x] for x in fresh.columns if x not in columns], *kept, F.col("__key").isNotNull().alias("hit"))
 
 
-def changed(fresh: DataFrame, cached: DataFrame, key: str, version: str) -> DataFrame:
-    """Rows of ``fresh`` that are new or whose ``version`` differs, null-safely, with ``change`` 'new' or 'updated'."""
-    c = cached.select(F.col(key).alias("__key"), F.col(version).alias("__version"))
+def changed(fresh: DataFrame, cached: DataFrame, key: str, version: str, develop: str | None = None, link: str = "link_size") -> DataFrame:
+    """Rows of ``fresh`` that are new or whose ``version`` differs, null-safely, with ``change`` 'new' or 'updated'.
+
+    With ``develop``, also 'develop': the cached column of that name is null while ``fresh`` advertises a link of some size.
+    """
+    c = cached.select(F.col(key).alias("__key"), F.col(version).alias("__version"), *([F.col(develop).alias("__develop")] if develop else []))
     joined = fresh.join(c, fresh[key] == c["__key"], "left")
     kind = F.when(F.col("__key").isNull(), "new").when(~F.col("__version").eqNullSafe(F.col(version)), "updated")
-    return joined.withColumn("change", kind).where("change is not null").drop("__key", "__version")
+    if develop:
+        kind = kind.when(F.col("__develop").isNull() & (F.col(link) > 0), "develop")
+    return joined.withColumn("change", kind).where("change is not null").drop("__key", "__version", "__develop")
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
@@ -99,6 +102,65 @@ def album_index(albums: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write next to ``path`` first, then overwrite it: the source may be read while it is replaced."""
-    staged, _ = materialise(df, "staged")
-    staged.write.mode("overwrite").parquet(path)
+    """Write a new table beside ``path`` and swap it in by two renames: the old one stays readable until the new one is whole."""
+    spark = df.sparkSession
+    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.write.mode("overwrite").parquet(fresh)
+    jvm = spark.sparkContext._jvm
+    at = {x: jvm.org.apache.hadoop.fs.Path(x) for x in (path, fresh, old)}
+    fs = at[path].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at[old], True)
+    if fs.exists(at[path]) and not fs.rename(at[path], at[old]):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at[fresh], at[path]):
+        raise OSError(f"cannot move {fresh}")
+    fs.delete(at[old], True)
+
+
+def point(base: DataFrame, key: str, value) -> DataFrame:
+    """The record of one key; the filter reaches the Parquet scan."""
+    return base.where(F.col(key) == F.lit(value))
+
+
+def keep_set(*sides: DataFrame, key: str = "hash") -> DataFrame:
+    """The keys of all sides, once each."""
+    out = sides[0].select(key)
+    for s in sides[1:]:
+        out = out.unionByName(s.select(key))
+    return out.where(F.col(key).isNotNull()).distinct()
+
+
+def stale(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "hash") -> DataFrame:
+    """One row (kept, stale): how pruning to what either side still has would come out."""
+    marked = base.join(keep_set(local, remote, key=key).withColumn("__keep", F.lit(True)), key, "left")
+    return marked.agg(F.count_if("__keep").alias("kept"), F.count_if(F.col("__keep").isNull()).alias("stale"))
+
+
+def merged_snapshots(runs: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row per key of an append-only table of runs: partial runs replace only what they ran."""
+    return latest(runs, key, order)
+
+
+def report_document(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row ``document``: JSON with a schema version, the number of records and the result tables, which are small."""
+    base = rows.agg(F.count("*").alias("photos"))
+    for name, t in tables.items():
+        base = base.crossJoin(F.broadcast(t.agg(F.collect_list(F.struct(*t.columns)).alias(name))))
+    return base.select(F.to_json(F.struct(F.lit("1").alias("schema_version"), "photos", F.struct(*tables).alias("aggregated"))).alias("document"))
+
+
+def write_json(document: DataFrame, path: str) -> None:
+    """Write one JSON text beside ``path`` and rename it there, so that a reader sees the old one or the new one."""
+    text = document.first()[0]
+    context = document.sparkSession.sparkContext
+    jvm = context._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    staged = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs = target.getFileSystem(context._jsc.hadoopConfiguration())
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise OSError(f"cannot rename {path}.tmp")

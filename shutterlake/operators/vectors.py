@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +103,7 @@ def select_seeds(vectors: DataFrame, key: str, column: str, seed: int = 42) -> D
                 yield pd.DataFrame({key: b[key], "cluster": cluster, "dist": np.linalg.norm(np.stack(b["v"].to_numpy()) - held.value[cluster], axis=1)})
 
     placed = model.transform(data).select(key, F.col("prediction").cast("bigint").alias("cluster"), vector_to_array("features").alias("v"))
-    near = placed.mapInPandas(to_centre, f"{key} bigint, cluster bigint, dist double")
+    near = placed.mapInPandas(to_centre, f"{key} {vectors.schema[key].dataType.simpleString()}, cluster bigint, dist double")
     return near.groupBy("cluster").agg(F.min(F.struct("dist", key)).alias("e")).select(f"e.{key}", "cluster")
 
 
@@ -124,26 +124,210 @@ def project(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return model.transform(data).select(key, F.round(p[0], 6).alias("x"), F.round(p[1], 6).alias("y"))
 
 
-def ridge(data: DataFrame, features: str, target: str, alpha: float):
-    """Ridge regression on standardised features with penalty ``alpha`` on the sum of squares; a constant target predicts its mean."""
-    stats = data.agg(F.stddev_pop(target).alias("s"), F.count(target).alias("n")).first()
-    scaler = StandardScaler(inputCol=features, outputCol="z", withMean=True, withStd=True).fit(data)
-    penalty = alpha * (stats["s"] or 0.0) / max(1, stats["n"])
-    model = LinearRegression(featuresCol="z", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=False, regParam=penalty).fit(scaler.transform(data))
-    return scaler, model
-
-
-def ridge_scores(vectors: DataFrame, key: str, column: str, target: str, alphas: tuple = (1.0, 10.0, 100.0), folds: int = 3, seed: int = 42) -> DataFrame:
-    """(alpha, r2, mae): pooled out-of-fold quality per penalty."""
-    data = vectors.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features"), F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).alias("fold"))
-    data = cut(data.where("y is not null"))
-    out = None
-    for alpha in alphas:
-        for f in range(folds):
-            scaler, model = ridge(data.where(F.col("fold") != f), "features", "y", alpha)
-            part = model.transform(scaler.transform(data.where(F.col("fold") == f))).select(F.lit(alpha).alias("alpha"), "y", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "prediction")).alias("p"))
-            out = part if out is None else out.unionByName(part)
-    return out.groupBy("alpha").agg(F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / (F.var_pop("y") * F.count("*")), 4).alias("r2"), F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 3).alias("mae"))
+#: Penalties that are tried, and folds.
+ALPHAS, FOLDS = (1.0, 10.0, 100.0, 500.0, 1000.0), 5
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+
+
+def moments(data: DataFrame, folds: int) -> list[dict]:
+    """Per fold the sums that ridge regression needs, of (fold, v, y): one pass, and what reaches the driver is the square of the vectors' length."""
+    schema = "fold int, blob binary"
+
+    def of(fold: int, x: np.ndarray, y: np.ndarray) -> bytes:
+        z = np.hstack([np.ones((len(x), 1)), x, y[:, None]])
+        return (z.T @ z).astype("<f8").tobytes()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y, fold = _matrix(b.column("v")), b.column("y").to_numpy(), b.column("fold").to_numpy()
+                kinds = np.unique(fold)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([of(f, x[fold == f], y[fold == f]) for f in kinds], pa.binary())], names=["fold", "blob"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<f8") for x in table.column("blob").to_pylist())
+        return pa.table({"fold": table.column("fold")[:1], "blob": pa.array([total.tobytes()], pa.binary())})
+
+    rows = data.select("fold", "v", "y").mapInArrow(partial, schema).groupBy("fold").applyInArrow(lambda t: add(t), schema).collect()
+    return [{"fold": r.fold, "z": np.frombuffer(r.blob, "<f8").reshape(int(len(r.blob) / 8) and round((len(r.blob) / 8) ** 0.5), -1)} for r in rows]
+
+
+def solve(z: np.ndarray, alpha: float) -> dict:
+    """Ridge regression on standardised features from the summed products of (1, x, y): mean, scale, weights and intercept."""
+    n, sx, sy = z[0, 0], z[0, 1:-1], z[0, -1]
+    mean = sx / n
+    scale = np.sqrt(np.maximum(np.diag(z)[1:-1] / n - mean**2, 0))
+    scale[scale < 1e-12] = 1.0
+    gram = (z[1:-1, 1:-1] - n * np.outer(mean, mean)) / np.outer(scale, scale)
+    cross = (z[1:-1, -1] - mean * sy) / scale
+    return {"mean": mean, "scale": scale, "weights": np.linalg.solve(gram + alpha * np.eye(len(mean)), cross), "intercept": sy / n, "alpha": alpha}
+
+
+def predicted(model: dict, x: np.ndarray) -> np.ndarray:
+    return model["intercept"] + ((x - model["mean"]) / model["scale"]) @ model["weights"]
+
+
+def _folded(vectors: DataFrame, key: str, column: str, target: str, folds: int, seed: int) -> DataFrame:
+    rows = vectors.where(f"{column} is not null and {target} is not null")
+    return rows.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int").alias("fold"))
+
+
+def ridge_scores(vectors: DataFrame, key: str, column: str, target: str, alphas: tuple = ALPHAS, folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """(alpha, r2, mae, within2, within5, within10): pooled out-of-fold quality per penalty, in two passes over the data."""
+    data = _folded(vectors, key, column, target, folds, seed)
+    parts = moments(data, folds)
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "alpha double, r2 double, mae double, within2 double, within5 double, within10 double")
+    whole = sum(p["z"] for p in parts)
+    models = {p["fold"]: [solve(whole - p["z"] if len(parts) > 1 else whole, a) for a in alphas] for p in parts}
+
+    def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y, fold = _matrix(b.column("v")), b.column("y").to_numpy(), b.column("fold").to_numpy()
+                for i, a in enumerate(alphas):
+                    p = np.empty(len(y))
+                    for f in np.unique(fold):
+                        p[fold == f] = predicted(models[f][i], x[fold == f])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), a)), pa.array(y), pa.array(p)], names=["alpha", "y", "p"])
+
+    away = F.abs(F.col("y") - F.col("p"))
+    share = lambda k: F.round(100 * F.avg(F.when(away <= k, 1.0).otherwise(0.0)), 1).alias(f"within{k}")
+    found = data.select("fold", "v", "y").mapInArrow(out_of_fold, "alpha double, y double, p double")
+    return found.groupBy("alpha").agg(F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.nullif(F.var_pop("y") * F.count("*"), F.lit(0.0)), 4).alias("r2"), F.round(F.avg(away), 3).alias("mae"), share(2), share(5), share(10))
+
+
+def train(vectors: DataFrame, key: str, column: str, target: str, alphas: tuple = ALPHAS, folds: int = FOLDS, seed: int = 42) -> dict:
+    """The model of the penalty with the best pooled quality, fitted on all rows, with its ``r2`` and ``mae``."""
+    quality = ridge_scores(vectors, key, column, target, alphas, folds, seed).collect()
+    best = max(quality, key=lambda r: (r.r2 if r.r2 is not None else float("-inf"), r.alpha == 100.0, -r.alpha))
+    model = solve(sum(p["z"] for p in moments(_folded(vectors, key, column, target, 1, seed), 1)), best.alpha)
+    return model | {"r2": best.r2, "mae": best.mae}
+
+
+def predict(vectors: DataFrame, model: dict, key: str, column: str, out: str = "score") -> DataFrame:
+    """(key, out): predictions between 0 and 100, two digits; rows without a vector are left out."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(np.clip(predicted(model, _matrix(b.column(1))), 0, 100), 2))], names=[key, out])
+
+    return vectors.where(f"{column} is not null").select(key, F.col(column).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, `{out}` double")
+
+
+def save_model(spark, model: dict, path: str) -> None:
+    """Write a model as a one-row table; ``seeds`` (array<array<double>>) and ``threshold`` go along where it has them."""
+    row = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()}
+    schema = "mean array<double>, scale array<double>, weights array<double>, intercept double, alpha double, r2 double, mae double, threshold double, seeds array<array<double>>, labels array<double>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    spark.createDataFrame([tuple(row.get(n) if n in ("seeds", "labels") or isinstance(row.get(n), list) else None if row.get(n) is None else float(row[n]) for n in names)], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark, path: str) -> dict | None:
+    """The model at ``path``; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    row = spark.read.parquet(path).first().asDict()
+    return row | {k: np.array(row[k]) for k in ("mean", "scale", "weights", "seeds", "labels") if row[k] is not None}
+
+
+def cascade(rows: DataFrame, teacher, path: str, key: str = "hash", column: str = "dinov3", forced: bool = False) -> DataFrame:
+    """Scores for the rows (key, column, score, score_source) without one: the teacher's for a few seeds, the student's for the rest.
+
+    ``teacher(rows) -> (key, score)`` is costly. ``forced``: it scores all. Without a stored model: it scores seeds that cover the
+    vectors, a student learns from them and scores the rest. With one: rows within the coverage of its seeds get the
+    student's score; new seeds are chosen among those outside, the student learns from old and new, and all that a
+    student has scored before is scored again. A stored model without seeds, or fewer than two rows to score: the teacher scores all.
+    """
+    spark = rows.sparkSession
+    pending = rows.where(f"score is null and {column} is not null").select(key, column)
+    taught = lambda df: teacher(df).select(key, "score", F.lit("siglip").alias("score_source"))
+    student = lambda df, m: predict(df, m, key, column).withColumn("score_source", F.lit("regressor"))
+    model = load_model(spark, path)
+    n = pending.count()
+    if forced:
+        return taught(rows.where(f"{column} is not null").select(key, column))
+    if n == 0:
+        return taught(pending.limit(0))
+    if model is None and n < 2 or model is not None and model.get("seeds") is None:
+        return taught(pending)
+
+    def learn(seeds: DataFrame, everything: DataFrame, old: dict | None) -> tuple[dict, DataFrame]:
+        """(model, the seeds' scores): the teacher sees every seed once."""
+        scores = cut(taught(seeds))
+        held = seeds.join(scores.select(key, "score"), key).where("score is not null").collect()  # bounded by seed_count
+        x, y = np.array([r[column] for r in held], np.float64), np.array([r["score"] for r in held], np.float64)
+        if old is not None:
+            x, y = np.vstack([old["seeds"], x]), np.r_[old["labels"], y]
+        data = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "i bigint, v array<double>, y double")
+        near = seed_distance(everything.withColumn("__id", F.monotonically_increasing_id()), x, "__id", column)
+        made = train(data, "i", "v", "y") | {"seeds": x, "labels": y, "threshold": near.agg(F.percentile("dist", 0.95)).first()[0]}
+        save_model(spark, made, path)
+        return made, scores
+
+    if model is None:
+        seeds = cut(pending.join(select_seeds(pending, key, column).select(key), key))
+        made, scores = learn(seeds, pending, None)
+        return scores.unionByName(student(pending.join(seeds.select(key), key, "left_anti"), made))
+    indexed = cut(pending.withColumn("__id", F.monotonically_increasing_id()))
+    far = seed_distance(indexed, model["seeds"], "__id", column).where(F.col("dist") > model["threshold"]).select("__id")
+    outside, inside = indexed.join(far, "__id", "left_semi").drop("__id"), indexed.join(far, "__id", "left_anti").drop("__id")
+    if outside.isEmpty():
+        return student(inside, model)
+    seeds = cut(outside.join(select_seeds(outside, key, column).select(key), key))
+    made, scores = learn(seeds, rows.where(f"{column} is not null").select(key, column), model)
+    again = rows.where(f"score_source = 'regressor' and {column} is not null").select(key, column)
+    return scores.unionByName(student(inside, model)).unionByName(student(outside.join(seeds.select(key), key, "left_anti"), made)).unionByName(student(again, made))
+
+
+def auto_train(rows: DataFrame, key: str, column: str, path: str) -> bool:
+    """Train again on the rows (key, column, score, score_source) that the teacher scored (a missing source counts as the teacher's); the seeds stay. False with fewer than two."""
+    spark = rows.sparkSession
+    own = rows.where(f"score is not null and {column} is not null and coalesce(score_source, 'siglip') <> 'regressor'")
+    if own.limit(2).count() < 2:
+        return False
+    old = load_model(spark, path) or {}
+    save_model(spark, train(own, key, column, "score") | {k: old.get(k) for k in ("seeds", "labels", "threshold")}, path)
+    return True
+
+
+def fingerprint(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """One row ``fingerprint``: the same for the same set of (key, vector), whatever the order; nothing is gathered."""
+    h = lambda seed: F.xxhash64(F.col(key), F.col(column), F.lit(seed))
+    return vectors.agg(F.sha2(F.concat_ws("|", F.count("*"), F.bit_xor(h(1)), F.bit_xor(h(2)), F.bit_xor(h(3)), F.bit_xor(h(4))), 256).alias("fingerprint"))
+
+
+def cluster_evaluation(rows: DataFrame, cluster: str, label: str, column: str) -> DataFrame:
+    """One row (n, nmi, within, between, separation): agreement with labels, mean similarity within clusters and between their centres.
+
+    Everything follows from the contingency table and from the clusters' summed unit vectors, without pairs of records.
+    """
+    slim = rows.select(F.col(cluster).alias("c"), F.col(label).alias("l"), F.col(column).cast("array<double>").alias("v")).where("c is not null and l is not null and v is not null")
+    cells = slim.groupBy("c", "l").agg(F.count("*").alias("n"))
+    p = cells.selectExpr("n / sum(n) over () AS p", "sum(n) over (partition by c) / sum(n) over () AS pc", "sum(n) over (partition by l) / sum(n) over () AS pl", "n", "sum(n) over (partition by c) AS nc", "sum(n) over (partition by l) AS nl")
+    info = p.agg(F.expr("sum(p * ln(p / (pc * pl)))").alias("mi"), F.expr("-sum(n * ln(pc)) / sum(n)").alias("hc"), F.expr("-sum(n * ln(pl)) / sum(n)").alias("hl"), F.sum("n").alias("n"))
+    norm = "sqrt(aggregate(v, 0D, (a, x) -> a + x * x)) + 1e-9"
+    dims = slim.selectExpr("c", "v", f"{norm} AS norm").selectExpr("c", "norm", "posexplode(v) AS (d, x)").groupBy("c", "d").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count("*").alias("n"))
+    sums = dims.groupBy("c").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"))
+    within = sums.where("n > 1").agg(F.expr("avg((q - n) / (n * (n - 1)))").alias("within"))
+    # the sum of all unit centres gives the mean over pairs of them, as the sums within clusters do
+    centre = dims.join(sums.select("c", "q"), "c").groupBy("d").agg(F.sum(F.col("s") / F.sqrt("q")).alias("s"))
+    between = centre.agg(F.sum(F.col("s") * F.col("s")).alias("qq")).crossJoin(sums.agg(F.count("*").alias("k"))).selectExpr("CASE WHEN k > 1 THEN (qq - k) / (k * (k - 1)) ELSE 0D END AS between")
+    one = info.crossJoin(within).crossJoin(between)
+    return one.selectExpr("n", "round(CASE WHEN hc + hl > 0 THEN 2 * mi / (hc + hl) ELSE 1D END, 4) AS nmi", "round(within, 4) AS within", "round(between, 4) AS between", "round(within / (between + 1e-9), 2) AS separation")
+
+
+def purity(rows: DataFrame, cluster: str, label: str) -> DataFrame:
+    """(cluster, n, top_label, purity): the most frequent label of each cluster and its share."""
+    cells = rows.where(f"{label} is not null").groupBy(F.col(cluster).alias("cluster"), F.col(label).alias("label")).agg(F.count("*").alias("k"))
+    return cells.groupBy("cluster").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "label")).alias("t")).selectExpr("cluster", "n", "t.label AS top_label", "round(-t.k / n, 3) AS purity")
 
 
 def cluster_quality(vectors: DataFrame, cluster: str, column: str) -> DataFrame:

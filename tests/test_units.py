@@ -65,7 +65,7 @@ def test_series(spark):
 def test_thresholds_prefer_overrides(spark):
     rows = spark.createDataFrame([(float(i), None, 0.5, 0.5, 0.5, 0.5, 0.5) for i in range(101)], "score double, iq double, isolation double, thirds double, space double, clutter double, off double")
     t = rules.thresholds(rows, {"clutter_max": 0.9, "nonsense": 1}).first()
-    assert (t.score_floor, t.score_high, t.iq_floor, t.clutter_max, t.tilt_max) == (15.0, 65.0, 40.0, 0.9, 3.0)
+    assert (t.score_floor, t.score_high, t.iq_floor, t.clutter_max, t.tilt_max) == (15.0, 65.0, 40.0, 0.9, 1.5)
 
 
 def test_store(spark, tmp_path):
