@@ -58,6 +58,7 @@ _EVENT = re.compile(
     r"|(?P<pair>[()\[\]{}（）［］【】「」『』《》〈〉«»‹›„“”\"])",
     re.S,
 )
+_MONTH = re.compile(r"\s*(?:" + "|".join(MONTHS) + ")")
 _WORD = re.compile(r"\w", re.U)
 _SMILE = re.compile(r"[:;=]['’]?-?[)(DPp|/\\*]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
@@ -92,10 +93,11 @@ def blocks(text: str) -> Iterator[tuple[bool, list[tuple[int, int]]]]:
             fence = f[1] if f else None
             continue
         q = _QUOTED.match(line)
-        if bool(q) != quoted and now:
+        if q and not quoted and now:
             yield item, now
             now, item = [], False
-        quoted = bool(q)
+        # a line without the sign goes on with the quoted paragraph before it
+        quoted = bool(q) or quoted and bool(now)
         if q:
             lo += q.end()
             line = text[lo:hi]
@@ -119,27 +121,22 @@ def _matched(s: str, events: list) -> dict[int, int]:
     """Position of each opening mark that is closed again -> position of its closing mark."""
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}  # how many of each closing mark the stack waits for
     for e in events:
         if e.lastgroup != "pair":
             continue
         c, at = e[0], e.start()
-        waiting = [x for x, _ in stack]
-        if c == '"':
-            closes = '"' in waiting
-        elif c == "“":
-            # closes after a low opening mark, or one that opened alike before a blank
-            closes = "“" in waiting
-        else:
-            closes = c not in PAIRS
-        if closes:
-            if c in waiting:
-                while stack:
-                    want, start = stack.pop()
-                    if want == c:
-                        out[start] = at
-                        break
-        else:
+        # a mark that opens and closes alike, or closes after a low opening one, closes if it is waited for
+        if waiting.get(c):
+            while stack:
+                want, start = stack.pop()
+                waiting[want] -= 1
+                if want == c:
+                    out[start] = at
+                    break
+        elif c in PAIRS:
             stack.append((PAIRS[c], at))
+            waiting[PAIRS[c]] = waiting.get(PAIRS[c], 0) + 1
     return out
 
 
@@ -196,7 +193,7 @@ def _ends(s: str, start: int, a: int, b: int) -> bool:
         return not after.isdigit()
     tight = bool(after) and not after.isspace() and after not in CLOSERS and after not in OPENERS and not _cjk(after)
     if all(c in ";;" for c in mark):
-        return not tight and bool(_GREEK.search(s, start, a))
+        return not tight and bool(_GREEK.search(s, max(start, a - 200), a))
     if "!" in mark or "?" in mark:
         return not (tight and (after.isalnum() or after in "=,;:/&"))
     if "…" in mark or len(mark) > 1:
@@ -211,7 +208,7 @@ def _ends(s: str, start: int, a: int, b: int) -> bool:
             return False
         kind = _abbreviation(s, a)
         if kind is None:
-            if _NUMBER.search(s, max(0, a - 6), a) and s[b:].lstrip().startswith(MONTHS):
+            if _NUMBER.search(s, max(0, a - 6), a) and _MONTH.match(s, b):
                 return False
             return a > start
         nxt = _next(s, b)

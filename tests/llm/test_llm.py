@@ -385,7 +385,7 @@ SENTENCES = [
     ("Run `a.b. C!` now. See https://x.example/a.b?c=1. End", ["Run `a.b. C!` now.", "See https://x.example/a.b?c=1.", "End"]),
     ("One line\nwrapped here. Two.\r\n\r\nThree", ["One line\nwrapped here.", "Two.", "Three"]),
     ("- First one. With two\n- Second\n1. Third", ["First one. With two", "Second", "Third"]),
-    ("> Quoted. Twice.\nPlain.", ["Quoted.", "Twice.", "Plain."]),
+    ("> Quoted. Twice.\nPlain.", ["Quoted.", "Twice.", "Plain."]), ("> It goes on. The\nnext line too.\n> And this.\n\nEnd", ["It goes on.", "The\nnext line too.", "And this.", "End"]),
     ("```\nNo. Unit!\n```\nText.\n\n    code here. Yes.\n\nEnd", ["Text.", "End"]),
     ("同步任务删除了日期。它显示“我的目录锁住了！它停了。”然后停住了！好", ["同步任务删除了日期。", "它显示“我的目录锁住了！它停了。”然后停住了！", "好"]),
     ("据Dr. Orrin说忽略了。在v1.2里……下一个。", ["据Dr. Orrin说忽略了。", "在v1.2里……", "下一个。"]),
@@ -410,3 +410,65 @@ def test_sentences_of_a_table(spark):
     assert sorted((r.start_char, r.end_char) for r in got if r.doc_id == 1) == [(0, 6), (0, 6), (7, 13), (7, 13)]
     assert sum(r.doc_id == 3 for r in got) == 20_000 and sum(r.doc_id is None for r in got) == 1
     assert sentences.sentences(df.limit(0)).count() == 0
+
+
+def test_votes_decide(spark):
+    rng = random.Random(8)
+    truth = {i: f"{rng.choice(['Kestrel', 'Velora', 'Ombra'])} {rng.choice('KVX')}-{rng.randrange(100, 999)} {rng.choice(['zoom', 'prime'])}" for i in range(60)}
+    rows, newest_wrong = [], 0
+    for i, good in truth.items():
+        k = rng.randrange(5, 9)
+        for j in range(k):
+            noise = list(good)
+            if j == k - 1 or rng.random() < 0.3:  # the newest row is always spoilt, and others at other places
+                noise[rng.randrange(len(noise))] = rng.choice("qwz#")
+            rows.append((len(rows), name(i), "".join(noise), j, "x"))
+        newest_wrong += rows[-1][2] != good
+    rows += [(9000, name(900), "alone", 1, "x"), (9001, None, "no key", 1, "x"), (9002, name(901), None, 1, "x"), (9003, name(901), "", 2, "x"), (9004, name(902), "a b", 1, "x"), (9005, name(902), None, 2, "x")]
+    df = spark.createDataFrame(rows, "record_id bigint, hash string, camera string, age int, field string")
+    got = {r.hash: r for r in survivor.voted(df, "hash", {"camera": F.col("camera")}, F.lit(1.0), [F.col("age"), F.col("record_id")], "record_id").collect()}
+    assert newest_wrong > 50 and np.mean([got[name(i)].value == good for i, good in truth.items()]) >= 0.9
+    assert got[name(902)].record_id == 9004 and name(900) not in got and name(901) not in got
+    # the row given is the newest with that value
+    assert all(r.record_id == max((x for x in rows if x[1] == h and x[2] == r.value), key=lambda x: (x[3], x[0]))[0] for h, r in got.items())
+    assert survivor.voted(df.limit(0), "hash", {"camera": F.col("camera")}, F.lit(1.0), [F.col("age")], "record_id").count() == 0
+
+
+def test_long_texts_are_cut_where_tokens_are():
+    encoder = tokens._encoder(f"{tokens.VOCABULARIES}/{tokens.VOCABULARY}")
+    rng = random.Random(9)
+    texts = [
+        "".join(rng.choice(["word ", "  ", "\n\n  ", "it's ", "x1y2 ", "“q”—", "e.g. ", "\t", "9,5 "]) for _ in range(3000)), "".join(rng.choice("同步任务在第二次运行时保留了拍摄日期。，") for _ in range(4000)),
+        "".join(rng.choice("การซิงก์เก็บป้ายกำกับ") for _ in range(3000)), "".join(rng.choice("abcXYZ0189+/=") for _ in range(5000)), "x" * 3000, " " * 3000, "!?" * 2000,
+    ]
+    for t in texts:
+        pieces = list(tokens._pieces(t, 200))
+        assert "".join(pieces) == t and sum(len(encoder.encode_ordinary(p)) for p in pieces) == len(encoder.encode_ordinary(t))
+    assert len(list(tokens._pieces(texts[0], 200))) > 20
+
+
+def test_a_long_document_at_the_end_of_a_mix(spark):
+    # a source of one long document and few short ones: its share stays within half of a document
+    docs = [(i, "a", 100) for i in range(400)] + [(1000 + i, "b", n) for i, n in enumerate([5000, *[100] * 50])]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.75, 1), ("m", "b", 0.25, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    by = {r.source: r for r in mixing.shares(mixing.mix(df, targets), targets).collect()}
+    assert abs(by["b"].actual_share - 0.25) < 0.07
+    # a budget beyond the sources' reach: the shortfall is reported
+    far = {r.source: r for r in mixing.shares(mixing.mix(df, targets, budget_tokens=10**6), targets).collect()}
+    assert far["a"].tokens == 40_000 and far["b"].tokens == 10_000 and far["b"].actual_share == 0.2
+
+
+def test_variety_covers_more_than_chance(spark):
+    rng = np.random.default_rng(12)
+    sizes = [300, 150, 80, 60, 40, 40, 30, 30, 20, 20]
+    series = [rng.standard_normal(768) for _ in sizes]
+    v = np.vstack([np.repeat([s], n, axis=0) + 0.5 * rng.standard_normal((n, 768)) for s, n in zip(series, sizes)] + [rng.standard_normal((230, 768))]).astype(np.float32)
+    names = [name(i) for i in range(len(v))]
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in zip(names, v)], "hash string, dinov3 array<float>")
+    u, at = unit(v), {n: i for i, n in enumerate(names)}
+    covered = lambda sel: ((u @ u[sel].T).max(axis=1) >= 0.55).mean()
+    chosen = [at[r.hash] for r in variety.varied_subset(df, 20).collect()]
+    by_chance = np.mean([covered(np.random.default_rng(i).choice(len(v), 20, replace=False)) for i in range(10)])
+    large = np.mean([i < 300 for i in chosen])
+    assert len(chosen) == 20 and covered(chosen) > by_chance and large < 0.25
