@@ -59,3 +59,14 @@ def test_photo_counts_once(spark):
     stamps = spark.createDataFrame([("a", 1, 5, None), ("a", 1, 3, None), ("a", 1, None, 1), ("b", 1, None, 7), ("c", None, 4, None), (None, 1, 4, None), ("d", 1, None, None)], "lightroom_id string, camera_id bigint, capture_us bigint, exif_us bigint")
     assert sorted(tuple(r) for r in photo_times(stamps).collect()) == [(1, 3), (1, 7)]
     assert photo_times(stamps.where(F.lit(False))).count() == 0
+
+
+def test_several_gaps_from_one_tree(spark):
+    from shutterlake.operators.sessions import GapTree
+
+    df = spark.createDataFrame([(1, t) for t in (0, 10, 25, 100, 101)] + [(2, 5)], "entity bigint, t_us bigint")
+    tree = GapTree(df, 30)
+    nodes = tree.built()
+    for gap in (5, 10, 20, 80):
+        got = sorted(tuple(r)[1:] for r in GapTree.runs(nodes, [5, 10, 20, 80]).where(f"gap_setting_us = {gap}").collect())
+        assert got == sorted(tuple(r) for r in tree.sessions(gap).collect())
