@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with items of varying length, by non-negative least squares.
 
 The lengths' histogram is all the planner sees. It lists shallow combinations - up to three lengths that together fill
-the capacity up to a small window - and solves for how often to repeat each so that the histogram is used up as nearly
+the capacity up to a small window, one of them perhaps many times - and solves for how often to repeat each so that the histogram is used up as nearly
 as possible, without negative counts. The counts are rounded to whole containers, as far as there are items left; whatever lengths are left over
 are packed greedily, longest first with the longest that still fit, whole containers of the same make-up at a time.
 A plan is then a short list of make-ups with repeat counts, and every item finds its container from its place among the
@@ -25,15 +25,33 @@ SALTS, PER_SALT = 64, 50_000
 COMBINATIONS = 60_000
 
 
-def combinations(present: np.ndarray, capacity: int, window: int, most: int = COMBINATIONS) -> np.ndarray:
-    """Rows of three positions in ``present`` (-1: none) whose lengths sum to ``capacity - window`` up to ``capacity``."""
+def combinations(present: np.ndarray, capacity: int, window: int, most: int = COMBINATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``present``, how many of each) of up to three lengths that together come to ``capacity - window`` up to ``capacity``.
+
+    Of a length that goes many times into a container, as many as fit or one less come with a filler; then come pairs and
+    triples of single items, of which there may be very many, up to ``most``. Position -1: none.
+    """
     n = len(present)
-    out = [np.stack([np.flatnonzero(present >= capacity - window), *[np.full((present >= capacity - window).sum(), -1)] * 2], axis=1)]
+    room = capacity // np.maximum(present, 1)
+    rows, times = [], []
+    for less in (0, 1):
+        m = room - less
+        ok = np.flatnonzero((present > 0) & (m > 0))
+        rest = capacity - m[ok] * present[ok]
+        full = rest <= window
+        rows.append(np.stack([ok[full], np.full(full.sum(), -1), np.full(full.sum(), -1)], axis=1))
+        times.append(np.stack([m[ok[full]], np.zeros(full.sum(), int), np.zeros(full.sum(), int)], axis=1))
+        top = np.searchsorted(present, rest, "right") - 1
+        for step in range(4):
+            filler = top - step
+            good = (filler >= 0) & (rest - present[np.maximum(filler, 0)] <= window) & (present[np.maximum(filler, 0)] > 0) & (filler != ok)
+            rows.append(np.stack([ok[good], filler[good], np.full(good.sum(), -1)], axis=1))
+            times.append(np.stack([m[ok[good]], np.ones(good.sum(), int), np.zeros(good.sum(), int)], axis=1))
+    out = []
     hi = np.searchsorted(present, capacity - present, "right")
     lo = np.searchsorted(present, capacity - window - present, "left")
-    pairs = [np.stack([np.full(e - s, i), np.arange(s, e), np.full(e - s, -1)], axis=1) for i, (s, e) in enumerate(zip(lo, np.minimum(hi, np.arange(n) + 1))) if e > s]
-    out += pairs
-    count = sum(map(len, out))
+    out += [np.stack([np.full(e - s, i), np.arange(s, e), np.full(e - s, -1)], axis=1) for i, (s, e) in enumerate(zip(lo, np.minimum(hi, np.arange(n) + 1))) if e > s]
+    count = sum(map(len, rows)) + sum(map(len, out))
     for i in range(n - 1, -1, -1):  # the longest of three is at least a third
         if present[i] * 3 < capacity - window or count >= most:
             break
@@ -46,30 +64,32 @@ def combinations(present: np.ndarray, capacity: int, window: int, most: int = CO
         ok = present[j] + present[third] >= rest - window
         out.append(np.stack([np.full(ok.sum(), i), j[ok], third[ok]], axis=1))
         count += int(ok.sum())
-    return np.concatenate(out)[:most] if out else np.empty((0, 3), int)
+    single = np.concatenate(out) if out else np.empty((0, 3), int)
+    return np.concatenate([*rows, single])[:most], np.concatenate([*times, (single >= 0).astype(int)])[:most]
 
 
-def repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def repeats(combos: np.ndarray, times: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Counts x >= 0 with least squares of (histogram - what x containers use), by accelerated projected gradients."""
     n = len(histogram)
-    used = combos >= 0
+    at, many = np.where(combos >= 0, combos, n), times.astype(float)
 
     def forward(x):
-        return sum(np.bincount(combos[used[:, c], c], x[used[:, c]], n) for c in range(3))
+        return sum(np.bincount(at[:, c], x * many[:, c], n + 1) for c in range(3))[:n]
 
     def back(r):
         padded = np.r_[r, 0.0]
-        return padded[combos].sum(axis=1)
+        return (padded[at] * many).sum(axis=1)
 
-    ones = forward(np.ones(len(combos)))
-    step = 1 / max(1.0, float((back(ones)).max()))
+    # columns of equal length, so that combinations of many items don't hold the step down
+    norm = np.sqrt((many * many).sum(axis=1))
+    step = 1 / max(1e-9, float((back(forward(1 / norm)) / norm).max()))
     x = np.zeros(len(combos))
     y, t = x.copy(), 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * back(forward(y) - histogram))
+        new = np.maximum(0, y - step * back(forward(y / norm) - histogram) / norm)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / t2 * (new - x), new, t2
-    return x
+    return x / norm
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None) -> list[tuple[list[tuple[int, int]], int]]:
@@ -83,16 +103,18 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: int | N
     out: list[tuple[list[tuple[int, int]], int]] = []
     solid = np.flatnonzero((lengths > 0) & (left > 0))
     if len(solid):
-        combos = combinations(lengths[solid], capacity, window)
+        combos, many = combinations(lengths[solid], capacity, window)
         if len(combos):
-            x = repeats(combos, left[solid].astype(float))
+            x = repeats(combos, many, left[solid].astype(float))
             for c in np.argsort(-x, kind="stable"):
                 want = int(np.floor(x[c] + 0.5))
                 if want <= 0:
                     if x[c] < 0.5:
                         break
                     continue
-                at, times = np.unique(solid[combos[c][combos[c] >= 0]], return_counts=True)
+                own = combos[c] >= 0
+                at, back = np.unique(solid[combos[c][own]], return_inverse=True)
+                times = np.bincount(back, many[c][own]).astype(np.int64)
                 k = int(min(want, (left[at] // times).min()))
                 if k > 0:
                     left[at] -= k * times
