@@ -17,29 +17,56 @@ from shutterlake.session import cut
 
 
 def similar_pairs(vectors: DataFrame, key: str, column: str, eps: float, block: int = 2048) -> DataFrame:
-    """(a, b, dist): pairs with cosine distance of at most ``eps``, a < b; exact, block by block.
+    """(a, b, dist): pairs with cosine distance of at most ``eps``, a < b; exact.
 
-    Rows are cut into blocks by hash; each pair of blocks is one task that multiplies two bounded matrices.
+    Rows go to the nearest of some pivots, drawn by hash, about one for each ``block`` rows, and as copies to every pivot
+    that is at most twice the angle of ``eps`` farther: by the triangle inequality a pair meets in the home of either. A
+    pivot's rows are cut into parts of ``block``, and each pair of parts is a task that multiplies two bounded matrices. For
+    small ``eps`` a row has few copies; beyond a distance of about 0.3 the pivots no longer divide anything.
     """
     n = vectors.count()
-    k = max(1, -(-n // block))
-    rows = vectors.where(f"{column} is not null").select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(k)).cast("int").alias("b"))
-    # block b meets all blocks c >= b: as the left side in (b, c) and as the right side in (c, b)
-    sent = rows.select("id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"))
-    sent = sent.select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "v", "b")
+    k = min(1024, max(1, -(-n // block)))
+    named = vectors.where(f"{column} is not null").select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
+    # bounded by the number of pivots
+    drawn = named.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(k).collect()
+    pivots = np.array([r.v for r in drawn], np.float64)
+    pivots = pivots / (np.linalg.norm(pivots, axis=1, keepdims=True) + 1e-9) if len(drawn) else np.zeros((1, 1))
+    reach = 2 * np.arccos(max(-1.0, min(1.0, 1 - eps))) + 1e-6
+    id_type = vectors.schema[key].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                m = np.stack(b["v"].to_numpy())
+                if len(pivots) > 1:
+                    angle = np.arccos(np.clip(m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9) @ pivots.T, -1, 1))
+                    home = angle.argmin(axis=1)
+                    row, cell = np.nonzero(angle <= angle[np.arange(len(m)), home][:, None] + reach)
+                else:
+                    home, row, cell = np.zeros(len(m), int), np.arange(len(m)), np.zeros(len(m), int)
+                yield pd.DataFrame({"cell": cell.astype("int32"), "home": cell == home[row], "id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
+
+    placed = named.mapInPandas(place, f"cell int, home boolean, id {id_type}, v array<double>")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("m")).selectExpr("cell", f"CAST(ceil(m / {int(block)}) AS int) AS parts")
+    rows = placed.join(F.broadcast(sizes), "cell").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # one row for each pivot
+    sent = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.select("cell", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), "id", "v", "p", "home")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(pdf["v"].to_numpy())
         m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
-        ids, b, lo, hi = pdf["id"].to_numpy(), pdf["b"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        ids, p, home, lo, hi = pdf["id"].to_numpy(), pdf["p"].to_numpy(), pdf["home"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = np.flatnonzero(p == lo), np.flatnonzero(p == hi)
         d = 1 - m[left] @ m[right].T
         i, j = np.nonzero(d <= eps)
-        a, c, d = ids[left[i]], ids[right[j]], d[i, j]
-        ok = a < c if lo == hi else a != c
-        return pd.DataFrame({"a": np.minimum(a, c)[ok], "b": np.maximum(a, c)[ok], "dist": np.round(d[ok], 9)})
-
-    return sent.groupBy("lo", "hi").applyInPandas(match, "a bigint, b bigint, dist double")
+        x, y, d = left[i], right[j], d[i, j]
+        # each pair once: in the home of the smaller id
+        small = np.where(ids[x] < ids[y], x, y)
+        ok = (ids[x] < ids[y] if lo == hi else ids[x] != ids[y]) & home[small]
+        x, y, d = x[ok], y[ok], d[ok]
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "dist": np.maximum(d, 0.0)})
+
+    return sent.groupBy("cell", "lo", "hi").applyInPandas(match, f"a {id_type}, b {id_type}, dist double")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -32,11 +32,10 @@ def upsert_sink(path: str, key: str, merge: Callable[[DataFrame, DataFrame, str]
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         delta = batch.dropDuplicates([key])
-        try:
-            base = spark.read.parquet(path)
-        except Exception:  # the table does not exist yet
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             delta.write.parquet(path)
             return
-        replace(merge(base, delta, key), path)
+        replace(merge(spark.read.parquet(path), delta, key), path)
 
     return write

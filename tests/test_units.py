@@ -128,14 +128,12 @@ def test_ridge_is_the_closed_form(spark):
     rng = np.random.default_rng(3)
     x, a = rng.standard_normal((120, 4)), 10.0
     y = x @ [1.0, -2.0, 0.5, 0.0] + 3 + rng.standard_normal(120) * 0.1
-    from pyspark.ml.functions import array_to_vector
-
-    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y)], "f array<double>, y double").select(array_to_vector("f").alias("features"), "y")
-    scaler, model = vectors.ridge(df, "features", "y", a)
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    df = spark.createDataFrame([(i, r.tolist(), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id bigint, f array<double>, y double")
+    model = vectors.train(df, "id", "f", "y", alphas=(a,))
+    # standardised with the population's deviation, as the model is defined
+    z = (x - x.mean(0)) / x.std(0)
     want = np.linalg.solve(z.T @ z + a * np.eye(4), z.T @ (y - y.mean()))
-    got = np.array(model.coefficients)
-    assert np.abs(got - want).max() < 0.02 * np.abs(want).max()
+    assert np.allclose(model["weights"], want) and model["r2"] > 0.9
 
 
 def test_scheduler():
@@ -172,3 +170,54 @@ def test_streams_give_the_batch_result(spark, tmp_path, kind):
     got = sorted(tuple(r) for r in spark.table(f"s_{kind}").collect())
     want = sorted(tuple(r) for r in (op(events) if kind == "windows" else events).collect())
     assert got == want and len(got) > 10
+
+
+def test_pairs_over_several_pivots(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 16))
+    v = np.repeat(centres, 6, axis=0) + 0.12 * rng.standard_normal((180, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id bigint, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for eps in (0.02, 0.05, 0.6):
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(1 - u @ u.T <= eps, 1)))}
+        got = vectors.similar_pairs(df, "id", "v", eps, block=20).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert vectors.similar_pairs(df.limit(0), "id", "v", 0.1).count() == 0
+
+
+def test_jpeg_headers(spark):
+    import struct
+
+    from shutterlake.sources.jpeg import ZIGZAG, headers
+
+    assert ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(ZIGZAG) == list(range(64))
+    segment = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+    entries = [(271, 2, 7, 200), (34665, 4, 1, 100)]
+    ifd = struct.pack("<H", 2) + b"".join(struct.pack("<HHII", *x) for x in entries)
+    sub = struct.pack("<H", 2) + struct.pack("<HHII", 33437, 5, 1, 220) + struct.pack("<HHIHH", 34855, 3, 1, 800, 0)
+    tiff = (b"II*\0" + struct.pack("<I", 8) + ifd).ljust(100, b"\0") + sub
+    tiff = tiff.ljust(200, b"\0") + b"Velora\0".ljust(20, b"\0") + struct.pack("<II", 28, 10)
+    table = [0] * 64
+    for place, value in zip(ZIGZAG, range(64)):
+        table[place] = value
+    good = b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + tiff) + segment(0xDB, b"\0" + bytes(range(64))) + segment(0xC0, b"\x08" + struct.pack(">HH", 30, 40) + b"\x03") + b"\xff\xda\0\0"
+    rows = {r.hash: r for r in headers(spark.createDataFrame([("good", good), ("cut", good[:50]), ("none", None), ("text", b"hello")], "hash string, content binary")).collect()}
+    g = rows["good"]
+    assert (g.width, g.height, g.luminance, g.exif) == (40, 30, table, {"Make": "Velora", "FNumber": "[28, 10]", "ISOSpeedRatings": "800"})
+    assert all(rows[k].luminance is None and not rows[k].exif for k in ("cut", "none", "text"))
+
+
+def test_streamed_upserts_and_sessions(spark, tmp_path):
+    from shutterlake.operators import store
+    from shutterlake.streaming import windows
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 01:00:00", 2.0), (2, "2024-01-01 09:00:00", 3.0)], "user_id bigint, ts string, value double").selectExpr("user_id", "CAST(ts AS timestamp) AS ts", "value").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    sink = windows.upsert_sink(out, "user_id", store.upsert, store.replace_table)
+    for _ in range(2):
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert sorted(r.user_id for r in spark.read.parquet(out).collect()) == [1, 2]
+    got = sorted((r.user_id, r.n) for r in windows.sessions(spark.read.parquet(src)).collect())
+    assert got == [(1, 2), (2, 1)]
