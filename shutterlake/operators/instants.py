@@ -1,13 +1,17 @@
 """Mixed timestamp formats and time zones: one UTC instant for each written stamp of a delivery feed.
 
 Stamps with a zone of their own convert directly. Stamps without one need the camera's zone: the declared one, or an
-estimate. The estimate aligns a camera's zone-less wall times with the times its rows were received: each candidate
-zone is an offset history, a row violates it when its photo would have been taken after it was received, and the
-candidate with the fewest violations wins, then the one with the smallest total delay.
+estimate. The estimate aligns a camera's zone-less wall times with the times its rows were received: a row violates a
+zone when its photo would have been taken after it was received, and the history of zones with the fewest violations
+wins, a camera that moves having more than one.
 """
 
 from __future__ import annotations
 
+import zoneinfo
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,30 +65,69 @@ def instants(stamps: DataFrame) -> DataFrame:
     return stamps.select("row_id", F.inline(F.filter(F.array(*each), lambda x: x.utc_us.isNotNull())))
 
 
-def estimate_zones(feed: DataFrame, cameras: DataFrame, slack_s: int = 60) -> DataFrame:
-    """(camera_id, zone, n_rows, n_violations) for cameras without a declared zone: the offset history that fits best.
+#: What a change of zone costs against violations, so that a few late clocks don't make a camera travel.
+SWITCH = 5.0
+#: What an hour that even the quickest delivery of a month took costs for each of its rows: a zone too far east violates nothing.
+IDLE = 0.02
+_EVER = 1 << 62
+
+
+def estimate_zones(feed: DataFrame, cameras: DataFrame, slack_s: int = 60, switch: float = SWITCH) -> DataFrame:
+    """(camera_id, from_us, until_us, zone, n_rows, n_violations) for cameras without a declared zone: the history of zones that fits best.
 
-    Candidates are the zones that ``cameras`` declares, so they are at most the world's few hundred zone names. Cameras
-    without any zone-less stamp have no row. Ties take the name that sorts first.
+    A camera's zone-less walls, of capture dates or else of exif, are scored by month: a row violates a candidate if its
+    photo would have been taken after it was received. The history chosen has the fewest violations, each change of zone
+    between months counting as ``switch`` of them and an hour's delay of even the quickest row of a month as ``IDLE`` for
+    each of its rows, then the smallest total delay. ``from_us`` and ``until_us`` (exclusive)
+    bound a stretch in wall time. Candidates are the zones that ``cameras`` declares, or all known ones if it declares none.
+    Cameras without any zone-less stamp have no row. Ties take the name that sorts first.
     """
     minute = 60 * SECOND
-    stamps = read_stamps(feed, cameras)
+    stamps = read_stamps(feed, cameras).withColumn("wall_us", F.coalesce("wall_us", "exif_wall_us"))
     open_ = F.col("zone").isNull() & F.col("camera_id").isNotNull() & F.col("wall_us").isNotNull() & F.col("received_us").isNotNull()
     to_minute = lambda c: (F.floor(F.col(c) / minute) * minute).cast("bigint").alias(c)
     # equal wall times and arrivals of a minute weigh as one row with a count: a hot camera is reduced before any join
     points = stamps.groupBy("camera_id", to_minute("wall_us"), to_minute("received_us")).agg(F.sum(F.when(open_, 1)).alias("n")).where("n > 0")
-    candidates = cameras.select(blankless(F.col("home_tz")).alias("z")).where("z is not null").agg(F.array_sort(F.collect_set("z")).alias("zones"))
+    everywhere = F.array(*[F.lit(z) for z in sorted(zoneinfo.available_timezones()) if "/" in z and not z.startswith(("Etc/", "posix/", "right/"))])
+    declared = cameras.select(blankless(F.col("home_tz")).alias("z")).where("z is not null").agg(F.array_sort(F.collect_set("z")).alias("zones"))
+    candidates = declared.select(F.when(F.size("zones") > 0, F.col("zones")).otherwise(everywhere).alias("zones"))
     tried = points.crossJoin(candidates).select("*", F.explode("zones").alias("cand")).drop("zones")
     delay = F.col("received_us") - wall_to_utc(F.col("wall_us"), F.col("cand"))
-    scored = tried.withColumn("delay", delay).where("delay is not null").groupBy("camera_id", "cand").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("delay") < -slack_s * SECOND, F.col("n")).otherwise(0)).alias("n_violations"), F.sum(F.abs("delay") / SECOND * F.col("n")).alias("total"))
-    best = scored.groupBy("camera_id").agg(F.min(F.struct("n_violations", "total", "cand", "n_rows")).alias("b"))
-    return best.select("camera_id", F.col("b.cand").alias("zone"), "b.n_rows", "b.n_violations")
+    month = F.trunc(F.timestamp_micros("wall_us").cast("date"), "month")
+    scored = tried.withColumn("delay", delay).where("delay is not null").groupBy("camera_id", "cand", month.alias("month")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("delay") < -slack_s * SECOND, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.abs("delay") / SECOND * F.col("n")).alias("total"), F.min(F.when(F.col("delay") >= -slack_s * SECOND, F.col("delay"))).alias("least"))
+
+    def history(pdf: pd.DataFrame) -> pd.DataFrame:
+        # as many rows as months times candidates
+        months, zones = sorted(pdf["month"].unique()), sorted(pdf["cand"].unique())
+        grid = lambda c: pdf.pivot(index="month", columns="cand", values=c).reindex(index=months, columns=zones).fillna(0).to_numpy(float)
+        bad, total, n = grid("bad"), grid("total"), grid("n").max(axis=1)
+        idle = np.clip(grid("least") / (3600 * SECOND), 0, 24)
+        cost = bad + IDLE * n[:, None] * idle + 0.5 * total / max(1.0, total.sum(axis=0).max())
+        best, back = cost[0], []
+        for row in cost[1:]:
+            stay = np.arange(len(zones))
+            back.append(np.where(best <= best.min() + switch, stay, best.argmin()))
+            best = np.minimum(best, best.min() + switch) + row
+        path = [int(best.argmin())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        starts = [i for i in range(len(path)) if i == 0 or path[i] != path[i - 1]]
+        edge = [int(pd.Timestamp(months[i]).value // 1000) for i in starts]
+        ends = [*starts[1:], len(path)]
+        return pd.DataFrame({
+            "camera_id": int(pdf["camera_id"].iloc[0]), "from_us": [-_EVER, *edge[1:]], "until_us": [*edge[1:], _EVER], "zone": [zones[path[i]] for i in starts],
+            "n_rows": [int(n[i:j].sum()) for i, j in zip(starts, ends)], "n_violations": [int(bad[np.arange(i, j), path[i]].sum()) for i, j in zip(starts, ends)],
+        })
+
+    return scored.groupBy("camera_id").applyInPandas(history, "camera_id bigint, from_us bigint, until_us bigint, zone string, n_rows bigint, n_violations bigint")
 
 
 def estimated_instants(stamps: DataFrame, zones: DataFrame) -> DataFrame:
-    """(row_id, field, utc_us) of the zone-less stamps of ``stamps`` whose camera has a zone in ``zones`` (camera_id, zone) only."""
-    guess = zones.select(F.col("camera_id").alias("__c"), F.col("zone").alias("__guess"))
-    rows = stamps.join(guess, (stamps.camera_id == F.col("__c")) & stamps.zone.isNull(), "inner")
+    """(row_id, field, utc_us) of the zone-less stamps of ``stamps`` whose camera has a zone in ``zones`` (of ``estimate_zones``) only."""
+    guess = zones.select(F.col("camera_id").alias("__c"), F.col("zone").alias("__guess"), "from_us", "until_us")
+    wall = F.coalesce("wall_us", "exif_wall_us")
+    rows = stamps.join(guess, (stamps.camera_id == F.col("__c")) & stamps.zone.isNull() & (wall >= F.col("from_us")) & (wall < F.col("until_us")), "inner")
     capture = wall_to_utc(F.col("wall_us"), F.col("__guess"))
     exif = F.when(F.col("wall_us").isNull(), wall_to_utc(F.col("exif_wall_us"), F.col("__guess")))
     each = F.array(F.struct(F.lit(FIELDS[0]).alias("field"), capture.alias("utc_us")), F.struct(F.lit(FIELDS[2]).alias("field"), exif.alias("utc_us")))

@@ -66,6 +66,27 @@ def test_zone_is_estimated_from_arrivals(spark):
     feed = [(i, "p", 3, str(day + dt.timedelta(hours=i)), None, None, day + dt.timedelta(hours=i - 9, minutes=3), "", "", 0) for i in range(20)]
     df = spark.createDataFrame(feed, FEED)
     zones = estimate_zones(df, cameras)
-    assert [tuple(r) for r in zones.collect()] == [(3, "Asia/Tokyo", 20, 0)]
+    assert [(r.camera_id, r.zone, r.n_rows, r.n_violations) for r in zones.collect()] == [(3, "Asia/Tokyo", 20, 0)]
     got = estimated_instants(read_stamps(df, cameras), zones).where(F.col("row_id") == 0).collect()
     assert [(r.field, r.utc_us) for r in got] == [("lightroom_capture_date", us(2014, 1, 5, 3))]
+
+
+def test_a_camera_that_moves_has_two_zones(spark):
+    cameras = spark.createDataFrame([(1, "Asia/Tokyo", ""), (2, "Europe/Berlin", ""), (3, None, ""), (4, None, "")], CAMERAS)
+    first, then = dt.datetime(2014, 1, 5, 12), dt.datetime(2014, 3, 5, 12)
+    feed = [(i, "p", 3, str(first + dt.timedelta(hours=i)), None, None, first + dt.timedelta(hours=i - 1, minutes=3), "", "", 0) for i in range(60)]
+    feed += [(100 + i, "p", 3, str(then + dt.timedelta(hours=i)), None, None, then + dt.timedelta(hours=i - 9, minutes=3), "", "", 0) for i in range(60)]
+    # one late clock is no journey; a camera with exif alone has a zone too
+    feed += [(200, "p", 3, str(first), None, None, first - dt.timedelta(hours=30), "", "", 0), (300, "p", 4, None, None, (9, "2014-05"), dt.datetime(2014, 5, 1, 7, 5), "", "", 0)]
+    df = spark.createDataFrame(feed, FEED)
+    zones = sorted((r.camera_id, r.zone, r.n_violations) for r in estimate_zones(df, cameras).collect())
+    assert zones == [(3, "Asia/Tokyo", 0), (3, "Europe/Berlin", 1), (4, "Europe/Berlin", 0)]
+    got = {r.row_id: r.utc_us for r in estimated_instants(read_stamps(df, cameras), estimate_zones(df, cameras)).collect()}
+    assert got[0] == us(2014, 1, 5, 11) and got[100] == us(2014, 3, 5, 3) and got[300] == us(2014, 5, 1, 7)
+
+
+def test_without_any_declared_zone_all_are_candidates(spark):
+    cameras = spark.createDataFrame([(3, None, "")], CAMERAS)
+    day = dt.datetime(2014, 1, 5, 12)
+    df = spark.createDataFrame([(i, "p", 3, str(day + dt.timedelta(hours=i)), None, None, day + dt.timedelta(hours=i) - dt.timedelta(hours=5, minutes=45), "", "", 0) for i in range(5)], FEED)
+    assert [r.zone for r in estimate_zones(df, cameras).collect()] == ["Asia/Kathmandu"]
