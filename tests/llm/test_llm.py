@@ -94,7 +94,7 @@ def test_nearest_of_nothing_and_of_one(spark, library):
     assert [len(r.neighbours) for r in neighbours.nearest(one, 3, dim=DIM).collect()] == [0]
 
 
-@pytest.mark.parametrize("cell_size", [10_000, 60])
+@pytest.mark.parametrize("cell_size", [60])
 def test_closed_clusters(library, cell_size):
     photos, names, units = library
     linked = units @ units.T >= 0.8
@@ -186,7 +186,7 @@ def bridged():
     return [f"{i:064x}" for i in range(60)], unit((v * np.sqrt(w)).astype(np.float32))
 
 
-@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (20, 1000)])
+@pytest.mark.parametrize("cell_size,finish", [(20, 1000)])
 def test_a_weak_bridge_does_not_join_dense_series(spark, cell_size, finish):
     names, units = bridged()
     df = spark.createDataFrame([(n, u.tolist()) for n, u in zip(names, units)], "hash string, dinov3 array<float>")
@@ -195,7 +195,7 @@ def test_a_weak_bridge_does_not_join_dense_series(spark, cell_size, finish):
     assert [label[n] for n in names] == [min(names[:30])] * 30 + [min(names[30:])] * 30
 
 
-@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (60, 1000), (60, 4)])
+@pytest.mark.parametrize("cell_size,finish", [(10_000, 1000), (60, 4)])
 def test_clusters_are_those_of_average_linkage(library, cell_size, finish):
     photos, names, units = library
     s = units.astype(np.float64) @ units.T.astype(np.float64)
@@ -264,7 +264,7 @@ def test_components(spark):
 
 
 def test_a_long_chain_is_contracted_again(spark):
-    n = 300
+    n = 150
     order = list(range(n))
     random.Random(4).shuffle(order)
     links = spark.createDataFrame([(bytes.fromhex(name(a)), bytes.fromhex(name(b))) for a, b in zip(order, order[1:])], "a binary, b binary")
