@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest
-from shutterlake.session import cut
+from shutterlake.session import cut, drop, materialise
 
 
 def link_rows(matches: DataFrame, most: float | None = 0.05, a: str = "hash_a", b: str = "hash_b", distance: str = "cos_dist") -> DataFrame:
@@ -84,13 +84,15 @@ def _labels(links: DataFrame, jobs: int) -> DataFrame | None:
     root = giant.agg(F.min("v").alias("root"))
     done = giant.crossJoin(F.broadcast(root))  # one row
     rest = cut(both.join(giant.withColumnRenamed("v", "a"), "a", "left_anti"))
-    label = cut(rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"))
+    label, at = materialise(rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"), "label")
     while True:
         seen = rest.join(label.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         lower = label.join(seen, label.v == seen.a, "left").select("v", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         # the label's own label: halves the way that is left
         up = lower.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        new = cut(lower.join(up, "root", "left").select("v", "old", F.least("root", "up").alias("root")))
+        before = at
+        new, at = materialise(lower.join(up, "root", "left").select("v", "old", F.least("root", "up").alias("root")), "label")
+        drop(links.sparkSession, before)
         changed = not new.where("old <> root").isEmpty()
         label = new.select("v", "root")
         if not changed:

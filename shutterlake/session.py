@@ -58,12 +58,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder, reliably, and read it from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write ``df`` to the shared folder and read it from there.
+
+    Not by a checkpoint: that keeps the optimiser's estimate of the plan behind it, which every join multiplies, so that in a
+    loop its digits double with each round until the driver can't hold it. A table has the size of its files.
+    """
+    return materialise(df, "cut")[0]
 
 
 def materialise(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
@@ -71,7 +71,8 @@ def materialise(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path), path
+    # with the schema given, no job has to look for it
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, path: str) -> None:

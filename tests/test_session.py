@@ -39,3 +39,12 @@ def test_tables_are_removed(spark):
     local = path.removeprefix("file://").removeprefix("file:")
     assert not os.path.exists(local)
     assert cut(spark.range(2)).count() == 2
+
+
+def test_a_loop_of_cuts_forgets_the_size_of_the_plan(spark):
+    df = cut(spark.range(100).selectExpr("id", "id as up"))
+    for _ in range(5):
+        above = df.selectExpr("id as up", "up as top")
+        df = cut(df.join(above, "up").selectExpr("id", "top as up"))
+    # estimates that multiply with every join would have hundreds of digits by now
+    assert df.count() == 100 and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
