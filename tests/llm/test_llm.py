@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,57 @@ def test_ten_thousand_equal_vectors(spark):
     assert near[low[0]] == low[1:4] and near[low[1]] == [low[0], *low[2:4]] and near[low[77]] == low[:3]
 
 
+@pytest.mark.parametrize("task", ["nearest", "fit"])
+def test_a_task_holds_little_more_than_its_vectors(task):
+    """A block of 12,000 vectors of 768 values (37 MB), half of them of one series, in numpy's memory and Arrow's."""
+    n, dim = 12_000, 768
+    rng = np.random.default_rng(4)
+    units = rng.standard_normal((n, dim), np.float32)
+    units[: n // 2] = units[0] + units[: n // 2] * np.float32(0.4)
+    units = unit(units)
+    before = units.copy()
+    all_in = np.ones(n, bool)
+    block = Block([x.to_bytes(32, "big") for x in range(n)], np.arange(n + 1), units, all_in, np.zeros(n, int), 0, 0, True)
+    turn = neighbours.rotation(dim)
+    tracemalloc.start()
+    if task == "nearest":
+        next(neighbours.search_block(block, 10, turn, 1.0))
+    elif task == "links":
+        block.home[300:] = False  # a few queries are enough
+        h = np.arange(n, dtype=np.uint64)
+        clusters.links_of_block(block, h, h, 10, 0.55)
+        assert (units == before).all()
+    else:
+        vectors.spherical_kmeans(units, 30, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < {"nearest": 5.0, "links": 2.0, "fit": 0.5}[task] * units.nbytes, peak / units.nbytes
+
+
+def test_rows_are_unpacked_as_they_come():
+    rng = np.random.default_rng(6)
+    raw = rng.standard_normal((3000, 16)).astype(np.float32)
+    raw[1500:1600] = raw[7]  # equal vectors of several digests
+    names = [f"{i * 7919 % 100003:032x}".encode() for i in range(3000)]
+
+    def batches():
+        for s in range(0, 3000, 700):
+            x = range(s, min(3000, s + 700))
+            m = len(x)
+            yield pa.RecordBatch.from_pydict({"lo": [0] * m, "hi": [0] * m, "part": [0] * m, "whole": [True] * m, "home": [i % 2 == 0 or 1500 <= i < 1600 or i == 7 for i in x], "digest": [names[i] for i in x], "packed": [pack(raw[i]) for i in x]})
+        yield pa.RecordBatch.from_pydict({"lo": [0], "hi": [0], "part": [0], "whole": [True], "home": [False], "digest": [names[3]], "packed": [pack(raw[3])]})
+
+    block = vectors.block_of(batches(), 16)
+    assert sorted(block.names) == sorted(names) and len(block.units) == 2900
+    want, place = unit(raw), {x: i for i, x in enumerate(names)}
+    for v in range(2900):
+        own = block.names[block.first[v] : block.first[v + 1]]
+        assert own == sorted(own) and all((want[place[x]] == block.units[v]).all() for x in own)
+        assert block.home[v] == any(place[x] % 2 == 0 or 1500 <= place[x] < 1600 or place[x] == 7 for x in own)
+    heads = [block.names[x] for x in block.first[:-1]]
+    assert heads == sorted(heads)
+
+
 def test_codes_leave_little_to_rerank():
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((40, 256))
