@@ -162,7 +162,7 @@ def test_ten_thousand_equal_vectors(spark):
     assert near[low[0]] == low[1:4] and near[low[1]] == [low[0], *low[2:4]] and near[low[77]] == low[:3]
 
 
-@pytest.mark.parametrize("task", ["nearest", "fit"])
+@pytest.mark.parametrize("task", ["nearest", "links", "fit"])
 def test_a_task_holds_little_more_than_its_vectors(task):
     """A block of 12,000 vectors of 768 values (37 MB), half of them of one series, in numpy's memory and Arrow's."""
     n, dim = 12_000, 768
