@@ -1,18 +1,16 @@
-"""Best representative of each duplicate group: a surviving value for each field by token-level consensus.
+"""Best representative of each duplicate group: a surviving value for each field.
 
-The values of a group are cut into tokens and aligned progressively, the most trusted first: each next value is
-aligned with the columns so far. Every column then votes with the weights of its values, and the winners make up the
-consensus. The survivor is the existing value closest to it.
-
-Weights fall by a factor of three from one place of trust to the next, so that all later places together weigh half of
-one place. That is what "the most trusted row wins" asks of a vote, and it bounds the work without changing any result:
-places beyond the sixteenth cannot turn a column, so they are cut off before the groups are gathered.
+Where a rule of trust decides (``survivors``), the most trusted row that has a value gives it: no vote is taken, as none
+could change that. Where a majority decides (``voted``), it is by token-level consensus: the values of a group are cut
+into tokens and aligned progressively, the heaviest first; each next value is aligned with the columns so far. Every
+column then votes with the weights of its values, and the winners make up the consensus. The survivor is the existing
+value closest to it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,8 +18,6 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest
 
-PLACES = 16
-FALL = 3.0
 _TOKENS = re.compile(r"\d|[^\W\d_]+|[^\w\s]|_")
 
 
@@ -86,41 +82,19 @@ def consensus(values: Sequence[str], weights: Sequence[float]) -> int:
     return away.index(min(away))
 
 
-def pick(groups: Iterable) -> list:
-    """The row id that gives the survivor of each group of (place, value, row id)."""
-    out = []
-    for g in groups:
-        rows = sorted(g, key=lambda r: r["place"])
-        values = [r["value"] for r in rows]
-        if len(set(values)) == 1:
-            out.append(rows[0]["id"])
-            continue
-        out.append(rows[consensus(values, [FALL ** -(r["place"] - 1) for r in rows])]["id"])
-    return out
-
-
 def survivors(rows: DataFrame, key: str, fields: dict[str, tuple[Column, Column]], order: list[Column], row_id: str) -> DataFrame:
     """(key, field, row_id): which row gives each field's surviving value, for keys with at least two rows.
 
-    ``fields``: name -> (value as text, null where it doesn't count; its own trust, larger first). ``order``: what
-    decides among equal trust. Keys without a value that counts have no row for that field. A null key is left out;
-    repeated rows and ties are settled by ``order``, which should end with something distinct; other columns of
-    ``rows`` are ignored.
+    ``fields``: name -> (whether the row has a value that counts, its own trust, larger first). ``order``: what decides
+    among equal trust, larger first, nulls last; then the larger ``row_id``. Keys without a value that counts have no row
+    for that field. A null key is left out; other columns of ``rows`` are ignored. Each task sends one row per key.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), t.alias("trust")) for n, (v, t) in fields.items()]))
-    ranked = [f"__o{i}" for i in range(len(order))]
-    slim = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(row_id).alias("__id"), each.alias("__f"), *[o.alias(n) for o, n in zip(order, ranked)])
-    slim = slim.select("__key", "__id", "__f.*", *ranked)
-    by = ", ".join(["value is not null desc", "trust desc nulls last", *[f"{n} desc nulls last" for n in ranked]])
-    # the limit on the place reaches the map side: a key with a third of all rows sends a few rows per task
-    placed = slim.withColumn("place", F.expr(f"row_number() over (partition by __key, field order by {by})")).where(f"place <= {PLACES}")
-    gathered = placed.groupBy("__key", "field").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("value").isNotNull(), F.struct("place", "value", F.col("__id").alias("id")))).alias("g"))
-
-    @F.pandas_udf("bigint")
-    def chosen(g: pd.Series) -> pd.Series:
-        return pd.Series(pick(g), dtype="int64")
-
-    return gathered.where("n >= 2 and size(g) > 0").select(F.col("__key").alias(key), "field", chosen("g").alias(row_id))
+    # nulls are the smallest in structs
+    ranked = {n: F.struct(trust.alias("trust"), *[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(row_id).alias("id")) for n, (_, trust) in fields.items()}
+    best = [F.max(F.when(counts, ranked[n])).alias(f"__{n}") for n, (counts, _) in fields.items()]
+    found = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"), *best).where("__n >= 2")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"__{n}.id").alias("id")) for n in fields]))
+    return found.select("__key", each.alias("f")).where("f.id is not null").select(F.col("__key").alias(key), F.col("f.field").alias("field"), F.col("f.id").alias(row_id))
 
 
 def voted(rows: DataFrame, key: str, fields: dict[str, Column], weight: Column, order: list[Column], row_id: str) -> DataFrame:
@@ -148,10 +122,10 @@ def voted(rows: DataFrame, key: str, fields: dict[str, Column], weight: Column,
     return best.select(F.col("__key").alias(key), "field", F.col("b.id").alias(row_id), F.col("b.value").alias("value"))
 
 
-def score_text(c: str) -> Column:
-    """A score from 0 to 100 as text of fixed width, so that its digits line up; null where it doesn't count."""
+def is_score(c: str) -> Column:
+    """Whether there is a score from 0 to 100."""
     v = F.col(c)
-    return F.when(v.between(0, 100) & ~F.isnan(v), F.lpad(v.cast("decimal(22,17)").cast("string"), 21, "0"))
+    return v.between(0, 100) & ~F.isnan(v)
 
 
 def photo_survivors(photos: DataFrame) -> DataFrame:
@@ -159,7 +133,7 @@ def photo_survivors(photos: DataFrame) -> DataFrame:
     source = F.lower(F.trim(F.col("aesthetic_score_source")))
     trust = F.when(source == "siglip", 2).when(source == "regressor", 1).otherwise(0)
     rows = photos.select(digest("hash").alias("hash"), "record_id", "aesthetic_score", "iq_score", "analysed_at", trust.alias("trust"))
-    fields = {"aesthetic_score": (score_text("aesthetic_score"), F.col("trust")), "iq_score": (score_text("iq_score"), F.lit(0))}
+    fields = {"aesthetic_score": (is_score("aesthetic_score"), F.col("trust")), "iq_score": (is_score("iq_score"), F.lit(0))}
     return survivors(rows, "hash", fields, [F.col("analysed_at"), F.col("record_id")], "record_id")
 
 

@@ -354,6 +354,16 @@ def test_survivors(spark):
     assert survivor.photo_survivors(df.limit(0)).count() == 0
 
 
+def test_trust_is_not_put_to_a_vote(spark):
+    # twenty rows agree, the most trusted one differs: it gives the value, and no stage is run that can't change that
+    rows = [(i, name(1), 50.0, "regressor", 50.0, dt.datetime(2024, 1, 1)) for i in range(20)] + [(20, name(1), 0.0, "siglip", None, None)]
+    df = spark.createDataFrame(rows, "record_id bigint, hash string, aesthetic_score double, aesthetic_score_source string, iq_score double, analysed_at timestamp_ntz")
+    found = survivor.photo_survivors(df)
+    assert {tuple(r) for r in found.collect()} == {(name(1), "aesthetic_score", 20), (name(1), "iq_score", 19)}
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Window" not in plan
+
+
 def test_variety(library):
     photos, names, units = library
     got = variety.varied_subset(photos, 30, dim=DIM).collect()
